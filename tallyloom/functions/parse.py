@@ -12,15 +12,15 @@ NUMBER = (
     r"(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$"
 )
 NUMBER_INSIDE = r"([0-9]+(\.[0-9]+)?)"
-RECORD_PREFIX = "wordcount"
-HEADER_PREFIX = "benchmark"
+RECORD_LINE = r"(?iU)^[\s\x1c-\x1f]*wordcount"
+HEADER_LINE = r"(?i)^benchmark"
 MEASURED_LINE = r"^WordCount\s+Spark\s+"
 
 
 def strict_number(text: Column) -> Column:
     """Finite number or NULL. Words such as nan or inf and type suffixes (``5d``) are not numbers here."""
     number = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def rescued_number(text: Column) -> Column:
@@ -33,12 +33,12 @@ def is_blank(line: Column) -> Column:
 
 
 def is_header(line: Column) -> Column:
-    return F.startswith(F.lower(line), F.lit(HEADER_PREFIX))
+    return line.rlike(HEADER_LINE)
 
 
 def is_record(line: Column) -> Column:
     """The first field starts with the workload name, whatever its case; holds for both delimiters."""
-    return F.startswith(F.lower(strip(line)), F.lit(RECORD_PREFIX))
+    return line.rlike(RECORD_LINE)
 
 
 def is_measured(line: Column) -> Column:

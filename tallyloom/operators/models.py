@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.scalars import squared_error
 from tallyloom.operators.features import FRACTION_PERCENTS, fold_of, fraction_bucket
-from tallyloom.operators.stats import exact_percentiles
+from tallyloom.operators.stats import grouped_summary
 
 # The search space and the settings of both searches.
 TREES = range(80, 401)
@@ -37,13 +37,19 @@ class SearchResult(NamedTuple):
     trace: DataFrame
 
 
-def constant_predictor(train: DataFrame, test: DataFrame, strategy: str = "median") -> DataFrame:
-    """Predict one value for every test row: the exact median (or the mean) of the train labels."""
-    if strategy == "median":
-        center = exact_percentiles(train, "label", {"center": 0.5})
-    else:
-        center = train.agg(F.avg("label").alias("center"))
-    return test.withColumn("prediction", center.scalar())
+def constant_predictions(train: DataFrame, test: DataFrame, strategies: dict[str, str] | None = None) -> DataFrame:
+    """(model, label, prediction): one value for all test rows, the exact median or the mean of the train labels.
+
+    All centers come from one summary of the train rows and reach the test rows as a one-row subquery.
+    """
+    strategies = strategies or {"Dummy": "median"}
+    center = grouped_summary(train, (), [F.avg("label").alias("mean")], "label", {"median": 0.5})
+    models = lambda c: F.array(*[
+        F.struct(F.lit(model).alias("model"), F.col("label"), c[kind].alias("prediction"))
+        for model, kind in strategies.items()
+    ])
+    row = center.select(F.struct("*").alias("c")).scalar()
+    return test.select("label", row.alias("_c")).select(F.inline(models(F.col("_c"))))
 
 
 def draw_params(

@@ -2,7 +2,7 @@
 
 A plain window sorts a whole group in one task. Here the order is cut into blocks: a block is numbered or
 scanned on its own, and a small table with one row per block carries the running total across blocks. The
-result equals that of the plain window.
+result equals that of the plain window, which is used where the input is small enough for one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.session import fits_one_task
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -36,13 +38,16 @@ def _carried(keyed: DataFrame, total: Column, combine) -> DataFrame:
 
 def number_rows(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), blocks: Sequence[str] = (),
-    out: str = "run_idx", block_rows: int = BLOCK_ROWS,
+    out: str = "run_idx", block_rows: int = BLOCK_ROWS, one_task: bool | None = None,
 ) -> DataFrame:
     """``row_number`` from 1 per group in the given order.
 
     ``order`` starts with a whole-number column that is cut into blocks of ``block_rows`` values, unless
     ``blocks`` names columns that come before it in the order, such as file and offset.
     """
+    if fits_one_task(df) if one_task is None else one_task:
+        whole = Window.partitionBy(*by).orderBy(*blocks, *order)
+        return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
     keyed = _keyed(df, by, blocks, order, block_rows)
     carry = _carried(keyed, F.count("*"), F.sum)
     within = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
@@ -52,9 +57,12 @@ def number_rows(
 
 def running_min(
     df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), blocks: Sequence[str] = (),
-    out: str = "best", block_rows: int = BLOCK_ROWS,
+    out: str = "best", block_rows: int = BLOCK_ROWS, one_task: bool | None = None,
 ) -> DataFrame:
     """Smallest value so far per group, the row itself included."""
+    if fits_one_task(df) if one_task is None else one_task:
+        whole = Window.partitionBy(*by).orderBy(*blocks, *order)
+        return df.withColumn(out, F.min(value).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     keyed = _keyed(df, by, blocks, order, block_rows)
     carry = _carried(keyed, F.min(value), F.min)
     so_far = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

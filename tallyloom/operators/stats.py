@@ -7,10 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.scalars import round3
-from tallyloom.session import broadcast_checked, cut_lineage, plan_bytes
-
-# Below this input size one task can hold all distinct values of a group.
-ONE_TASK_BYTES = 256 * 1024 * 1024
+from tallyloom.session import broadcast_checked, cut_lineage, fits_one_task
 
 # The reported percentiles.
 PERCENTS = {"p50_sec": 0.50, "p90_sec": 0.90, "p99_sec": 0.99}
@@ -19,10 +16,6 @@ SLOTS_PER_OCTAVE = 4096
 SLOT_UNIT = 1000.0
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    return plan_bytes(df) <= ONE_TASK_BYTES
-
-
 def _slot(value: Column) -> Column:
     """Monotone map of a number to a log-scaled slot, far below a thousandth of its magnitude wide."""
     size = F.log2(F.lit(1.0) + F.abs(value) * F.lit(SLOT_UNIT)) * F.lit(float(SLOTS_PER_OCTAVE))

@@ -14,10 +14,10 @@ from tallyloom.operators import collect, conf, eventlog, features, metrics, mode
 from tallyloom.operators import speedup, stats, wordcount
 from tallyloom.plans import fixtures
 from tallyloom.schemas import AGG, AGG_META, METRICS
-from tallyloom.session import scratch_path, spread_small_scan
+from tallyloom.session import scratch_path
 from tallyloom.sources import csvs, eventlog as event_logs, files, generate, logs, meta as metas
 from tallyloom.sources.conf import parse_conf
-from tallyloom.sources.tables import table
+from tallyloom.sources.tables import balanced_table, table
 from tallyloom.streaming import gauges, runs as run_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def registered(query: Query) -> Query:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_small_scan(table(spark, folder, "documents").select(F.col("text").alias("value")))
+    return balanced_table(spark, folder, "documents").select(F.col("text").alias("value"))
 
 
 # Word counts and generated text
@@ -43,7 +43,7 @@ def wc_words(spark, folder):
 
 @registered
 def wc_single_space(spark, folder):
-    return wordcount.space_token_counts(spread_small_scan(fixtures.spaced_lines(spark, folder)))
+    return wordcount.space_token_counts(fixtures.spaced_lines(spark, folder))
 
 
 @registered
@@ -65,7 +65,7 @@ def gen_constant_lines(spark, folder):
 
 @registered
 def gen_random_text(spark, folder):
-    parts = table(spark, folder, "part").select("p_partkey")
+    parts = balanced_table(spark, folder, "part").select("p_partkey")
     return parts.select("p_partkey", generate.random_line(F.col("p_partkey")).alias("value"))
 
 
@@ -354,10 +354,7 @@ def one_hot(spark, folder):
 
 def _constant_predictions(spark, folder):
     _, train, test = _split_rows(spark, folder)
-    named = lambda strategy, model: models.constant_predictor(train, test, strategy).select(
-        F.lit(model).alias("model"), "label", "prediction"
-    )
-    return named("median", "Dummy").unionByName(named("mean", "Mean"))
+    return models.constant_predictions(train, test, {"Dummy": "median", "Mean": "mean"})
 
 
 def _rounded(scores: DataFrame) -> DataFrame:
@@ -417,8 +414,7 @@ def rf_search(spark, folder):
     train, test, raw_train, raw_test = _encoded(spark, folder)
     found = models.random_search(train, fixtures.ROW_KEY, draws=3, folds=2, **SMALL_SPACE)
     forest = found.model.transform(test).select(F.lit("RandomSearch_RF").alias("model"), "label", "prediction")
-    dummy = models.constant_predictor(raw_train, raw_test).select(F.lit("Dummy").alias("model"), "label", "prediction")
-    return metrics.error_metrics(forest.unionByName(dummy))
+    return metrics.error_metrics(forest.unionByName(models.constant_predictions(raw_train, raw_test)))
 
 
 @registered
@@ -442,7 +438,7 @@ def rf_learning_curve(spark, folder):
 def _shaped_rollup(rollup: DataFrame) -> DataFrame:
     return rollup.select(
         F.col("window_start").cast("string").alias("window_start"), "source", "n",
-        F.round("avg_value", 6).alias("avg_value"), "max_value",
+        F.round("avg_value", 9).alias("avg_value"), "max_value",
     )
 
 

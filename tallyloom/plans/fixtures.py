@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.scalars import text3
 from tallyloom.sources.logs import REPORT_HEADER
-from tallyloom.sources.tables import table
+from tallyloom.sources.tables import balanced_table, table
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -33,7 +33,7 @@ def comma_lines(spark: SparkSession, folder: str) -> DataFrame:
         6: line("WordCount,Spark,", scale, ",", seconds, "s"),
         7: line("WordCount,Spark,", scale, ",", seconds, ",extra"),
     }, line("WordCount,Spark,", scale, ",", seconds))
-    return table(spark, folder, "events").select(F.col("event_id").alias("seq"), value.alias("value"))
+    return balanced_table(spark, folder, "events").select(F.col("event_id").alias("seq"), value.alias("value"))
 
 
 def report_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,12 +50,12 @@ def report_lines(spark: SparkSession, folder: str) -> DataFrame:
         6: line("WordCount \t Spark\t", scale, " ", seconds, " more\tfields"),
         7: line("WordCount\tSpark\t", scale),
     }, line("WordCount\tSpark\t", scale, "\t", seconds))
-    return table(spark, folder, "events").select(F.col("event_id").alias("seq"), value.alias("value"))
+    return balanced_table(spark, folder, "events").select(F.col("event_id").alias("seq"), value.alias("value"))
 
 
 def event_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Clean run records: one per event, in event order."""
-    return table(spark, folder, "events").select(
+    return balanced_table(spark, folder, "events").select(
         F.col("event_id").alias("seq"), F.lit("WordCount").alias("benchmark"), F.lit("Spark").alias("engine"),
         F.col("event_type").alias("scale"), F.col("value").alias("duration_sec"),
     )
@@ -64,7 +64,7 @@ def event_runs(spark: SparkSession, folder: str) -> DataFrame:
 def spaced_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines with leading, doubled and trailing blanks."""
     line = F.explode(F.split("text", "\n")).alias("line")
-    return table(spark, folder, "documents").select(line).select(
+    return balanced_table(spark, folder, "documents").select(line).select(
         F.when(F.col("line") == "", F.col("line"))
         .otherwise(F.concat(F.lit(" "), F.replace("line", F.lit(", "), F.lit(",  ")), F.lit("  ")))
         .alias("value")
@@ -80,7 +80,7 @@ def conf_lines(spark: SparkSession, folder: str) -> DataFrame:
         2: key,
         3: F.concat(F.lit("  "), key, F.lit(" \t "), F.col("o_orderpriority"), F.lit("  ")),
     }, F.concat(key, F.lit("  "), F.col("o_orderpriority"), F.lit("   "), F.col("o_orderstatus")))
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("line_no"), value.alias("value"))
+    return balanced_table(spark, folder, "orders").select(F.col("o_orderkey").alias("line_no"), value.alias("value"))
 
 
 def conf_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +105,7 @@ def agg_like(spark: SparkSession, folder: str) -> DataFrame:
     """Aggregate-table rows, one per part, with its key."""
     size, price = F.col("p_size"), F.col("p_retailprice")
     scale = F.element_at(F.array(*[F.lit(s) for s in ("tiny", "small", "large", "huge")]), size % 4 + 1)
-    return table(spark, folder, "part").select(
+    return balanced_table(spark, folder, "part").select(
         "p_partkey",
         F.lit("WordCount").alias("benchmark"), F.lit("Spark").alias("engine"), scale.alias("scale"),
         size.cast("bigint").alias("n"), price.alias("mean_sec"), (price - 1).alias("median_sec"),
@@ -131,7 +131,7 @@ def tuning_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One tuning record per order, with NULL targets, mixed-case booleans and some feature columns absent."""
     key = F.col("o_orderkey")
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return table(spark, folder, "orders").select(
+    return balanced_table(spark, folder, "orders").select(
         "o_orderkey",
         (key % 4 + 1).cast("int").alias("executors"),
         (key % 3 + 1).cast("int").alias("executor_cores"),
@@ -147,7 +147,7 @@ def configurations(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the configuration each of them ran under; one configuration is the default."""
     flag, status, line = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
     default = (flag == "N") & (status == "O") & (line == 1)
-    return table(spark, folder, "lineitem").select(
+    return balanced_table(spark, folder, "lineitem").select(
         F.concat(flag, status, line.cast("string")).alias("source_file"),
         line.alias("executors"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(4).alias("executor_cores"),
@@ -172,7 +172,7 @@ def workers(spark: SparkSession, folder: str) -> DataFrame:
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """One executor request per part, sent to a cluster."""
     size = F.col("p_size")
-    return table(spark, folder, "part").select(
+    return balanced_table(spark, folder, "part").select(
         "p_partkey", (F.col("p_partkey") % 25).cast("int").alias("cluster"), (size % 4 + 1).alias("executors"),
         (size % 3 + 1).alias("executor_cores"), (size % 8 + 1).alias("executor_memory_gb"),
     )
@@ -181,7 +181,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as script bodies: an interpreter line, then a print statement per text line."""
     body = F.replace("text", F.lit("\n"), F.lit("  \n\tprint "))
-    return table(spark, folder, "conversations").select(
+    return balanced_table(spark, folder, "conversations").select(
         "conv_id", "turn", "text", F.concat(F.lit("#!/usr/bin/env python2\n  print "), body).alias("script")
     )
 
@@ -189,7 +189,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 def regression_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with their net price as label."""
     price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    return table(spark, folder, "lineitem").select(
+    return balanced_table(spark, folder, "lineitem").select(
         *ROW_KEY, "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_returnflag",
         (price * (1 - discount) * (1 + tax)).alias("label"),
     )
@@ -201,7 +201,7 @@ def scored_draws(spark: SparkSession, folder: str) -> DataFrame:
     picked = lambda salt, buckets: (
         F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("bigint") % buckets / 100.0
     )
-    return table(spark, folder, "part").select(
+    return balanced_table(spark, folder, "part").select(
         F.floor(key / 61).alias("search_id"), (key % 61).cast("int").alias("iter"),
         picked("s", 1000).alias("score"), picked("u", 100).alias("u"),
     )
@@ -233,4 +233,4 @@ def event_log_lines(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "error", event("SparkListenerJobEnd", number.alias("Job ID")))
         .otherwise(task)
     )
-    return table(spark, folder, "events").select(F.col("user_id").alias("app"), line.alias("value"))
+    return balanced_table(spark, folder, "events").select(F.col("user_id").alias("app"), line.alias("value"))

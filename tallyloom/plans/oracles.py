@@ -167,16 +167,16 @@ SELECT word, (SELECT count(*) FROM orders) AS n
 FROM (SELECT unnest(string_split('lorem ipsum dolor sit amet consectetur adipiscing elit', ' ')) AS word)
 WHERE (SELECT count(*) FROM orders) > 0"""
 
-ORACLES["gen_random_text"] = """
+ORACLES["gen_random_text"] = r"""
 WITH s AS (
     SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS seed,
-        25 + CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 96 AS len
+        25 + CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 86 AS words
     FROM part),
-p AS (SELECT p_partkey, seed, unnest(range(0, len)) AS i FROM s),
-k AS (SELECT p_partkey, i, CAST('0x' || substr(md5(seed || ':' || (i // 4)), 1 + 8 * CAST(i % 4 AS INTEGER), 8) AS BIGINT) % 1000 AS k FROM p),
-w AS (SELECT p_partkey, i, syl[k // 100 + 1] || syl[k // 10 % 10 + 1] || syl[k % 10 + 1] AS word
-      FROM k, (SELECT ['ba', 'de', 'fi', 'go', 'ku', 'la', 'me', 'ni', 'so', 'tu'] AS syl))
-SELECT p_partkey, string_agg(word, ' ' ORDER BY i) AS value FROM w GROUP BY p_partkey"""
+p AS (SELECT p_partkey, seed, words, unnest(range(0, 12)) AS block FROM s),
+h AS (SELECT p_partkey, words, string_agg(md5(seed || ':' || block), '' ORDER BY block) AS hex FROM p GROUP BY p_partkey, words)
+SELECT p_partkey, rtrim(regexp_replace(translate(substr(hex, 1, CAST(3 * words AS INTEGER)), '0123456789abcdef', 'bdfghjklmnprstvz'),
+    '(.)(.)(.)', '\1a\2e\3o ', 'g')) AS value
+FROM h"""
 
 ORACLES["text_rewrite"] = r"""
 WITH s AS (
@@ -408,12 +408,12 @@ SELECT search_id, iter, score FROM replay"""
 
 ORACLES["gauge_rollup"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source, count(*) AS n,
-    round(avg(value), 6) AS avg_value, max(value) AS max_value
+    round(avg(value), 9) AS avg_value, max(value) AS max_value
 FROM events GROUP BY date_trunc('hour', ts), event_type"""
 
 ORACLES["gauge_rollup_stream"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source, count(*) AS n,
-    round(avg(value), 6) AS avg_value, max(value) AS max_value
+    round(avg(value), 9) AS avg_value, max(value) AS max_value
 FROM events GROUP BY date_trunc('hour', ts), event_type
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # A side with at most this many rows is broadcast; beyond it the join stays a shuffle join.
 BROADCAST_ROWS = 200_000
 
+# Below this input size one task can sort or hold a whole group, even if all rows are in it.
+ONE_TASK_BYTES = 256 * 1024 * 1024
+
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -65,6 +68,10 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_one_task(df: DataFrame) -> bool:
+    return plan_bytes(df) <= ONE_TASK_BYTES
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its row count is within ``max_rows``, else leave it to a shuffle join.
 
@@ -73,10 +80,10 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Deal out an input that is too small to give every core a scan split of its own.
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Deal out an input that is too small to give every core a scan split of its own, by a unique key.
 
     A large input has many splits already and is returned untouched, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * SCAN_SPLIT_BYTES else df
+    return df.repartition(cores, key) if plan_bytes(df) < cores * SCAN_SPLIT_BYTES else df

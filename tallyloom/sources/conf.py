@@ -14,12 +14,11 @@ def parse_conf(lines: DataFrame, column: str = "value") -> DataFrame:
     single blanks.
     """
     kept = [c for c in lines.columns if c != column]
-    return (
-        lines.select(*kept, words(F.col(column)).alias("_parts"))
-        .where((F.size("_parts") >= 2) & ~F.startswith(F.get("_parts", F.lit(0)), F.lit("#")))
-        .select(
-            *kept,
-            F.get("_parts", F.lit(0)).alias("key"),
-            F.array_join(F.slice("_parts", 2, F.size("_parts")), " ").alias("value"),
-        )
+    settings = F.filter(
+        F.array(words(F.col(column))),
+        lambda p: (F.size(p) >= 2) & ~F.startswith(F.get(p, F.lit(0)), F.lit("#")),
     )
+    pair = lambda p: F.struct(
+        F.get(p, F.lit(0)).alias("key"), F.array_join(F.slice(p, F.lit(2), F.size(p)), " ").alias("value")
+    )
+    return lines.select(*kept, F.inline(F.transform(settings, pair)))

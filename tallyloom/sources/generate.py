@@ -10,12 +10,10 @@ from tallyloom.functions.scalars import GIB, MAX_WRITERS, MIN_BYTES_PER_WRITER,
 CONSTANT_LINE = "lorem ipsum dolor sit amet consectetur adipiscing elit"
 DEFAULT_LINES = 500_000
 
-# Word k of the vocabulary is made of the three decimal digits of k, so 1000 words follow from ten syllables.
-SYLLABLES = ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "so", "tu"]
-VOCABULARY = len(SYLLABLES) ** 3
-SHORTEST_LINE, LONGEST_LINE = 25, 120
-WORDS_PER_HASH = 4
-WORD_BYTES = 7
+# Line length in words and the consonants behind the sixteen hex digits.
+SHORTEST_LINE, LONGEST_LINE = 25, 110
+HEX_DIGITS, CONSONANTS = "0123456789abcdef", "bdfghjklmnprstvz"
+WORD_DIGITS, WORD_BYTES, HASH_DIGITS = 3, 7, 32
 
 
 def integers(spark: SparkSession, n: int) -> DataFrame:
@@ -26,29 +24,21 @@ def constant_lines(spark: SparkSession, n: int = DEFAULT_LINES, line: str = CONS
     return spark.range(n).select(F.lit(line).alias("value"))
 
 
-def _hash_number(digest: Column, position: int) -> Column:
-    return F.conv(F.substring(digest, 1 + 8 * position, 8), 16, 10).cast("bigint")
-
-
-def _word(number: Column) -> Column:
-    syllables = F.array(*[F.lit(s) for s in SYLLABLES])
-    digit = lambda power: F.get(syllables, (F.call_function("div", number, F.lit(power).cast("bigint")) % 10).cast("int"))
-    return F.concat(digit(100), digit(10), digit(1))
-
-
 def random_line(seed: Column) -> Column:
-    """A line of hash-picked words. Length and words depend on the seed only, so a lost task repeats its rows."""
+    """A line of words, three hash digits each: every digit gives a consonant, vowels go in between.
+
+    Length and words depend on the seed only, so a task that is run again repeats its rows.
+    """
     seed = seed.cast("string")
-    length = SHORTEST_LINE + _hash_number(F.md5(seed), 0) % (LONGEST_LINE - SHORTEST_LINE + 1)
-    groups = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", length - 1, F.lit(WORDS_PER_HASH).cast("bigint")))
-    digests = F.transform(groups, lambda g: F.md5(F.concat(seed, F.lit(":"), g.cast("string"))))
-    picks = F.flatten(
-        F.transform(
-            digests,
-            lambda d: F.array(*[_word(_hash_number(d, i) % VOCABULARY) for i in range(WORDS_PER_HASH)]),
-        )
+    spread = LONGEST_LINE - SHORTEST_LINE + 1
+    number = F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("bigint")
+    digits = ((SHORTEST_LINE + number % spread) * WORD_DIGITS).cast("int")
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.call_function("div", digits, F.lit(HASH_DIGITS)).cast("int")),
+        lambda block: F.md5(F.concat(seed, F.lit(":"), block.cast("string"))),
     )
-    return F.array_join(F.slice(picks, F.lit(1), length.cast("int")), " ")
+    letters = F.translate(F.substring(F.array_join(hashes, ""), F.lit(1), digits), HEX_DIGITS, CONSONANTS)
+    return F.rtrim(F.regexp_replace(letters, "(.)(.)(.)", "$1a$2e$3o "))
 
 
 def random_text(rows: DataFrame, seed: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import parse
 
@@ -33,32 +33,31 @@ def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _records(lines: DataFrame, column: str, fields, arity, number) -> DataFrame:
+def _records(lines: DataFrame, column: str, fields: Column, arity, number) -> DataFrame:
+    """Zero or one record per line. The lambdas bind the split fields and the parsed number, so a line is
+    split and parsed once however often the parts are used."""
     kept = [c for c in lines.columns if c != column]
-    return (
-        lines.where(parse.is_record(F.col(column)))
-        .select(*kept, fields(F.col(column)).alias("_fields"))
-        .where(arity(F.size("_fields")))
-        .select(
-            *kept,
-            F.get("_fields", F.lit(0)).alias("benchmark"),
-            F.get("_fields", F.lit(1)).alias("engine"),
-            F.get("_fields", F.lit(2)).alias("scale"),
-            number(F.get("_fields", F.lit(3))).alias("duration_sec"),
-        )
-        .where(F.col("duration_sec").isNotNull())
+    at = lambda f, i: F.get(f, F.lit(i))
+    record = lambda f: F.struct(
+        at(f, 0).alias("benchmark"), at(f, 1).alias("engine"), at(f, 2).alias("scale"),
+        number(at(f, 3)).alias("duration_sec"),
     )
+    whole = F.filter(F.array(fields), lambda f: arity(F.size(f)))
+    timed = F.filter(F.transform(whole, record), lambda r: r["duration_sec"].isNotNull())
+    return lines.where(parse.is_record(F.col(column))).select(*kept, F.inline(timed))
 
 
 def parse_comma_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """``benchmark,engine,scale,seconds`` lines with exactly four fields; a bad number drops the line."""
-    return _records(lines, column, parse.comma_fields, lambda n: n == 4, parse.strict_number)
+    return _records(lines, column, parse.comma_fields(F.col(column)), lambda n: n == 4, parse.strict_number)
 
 
 def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Report lines of at least four tab or blank separated fields; ``12.3s`` is rescued as 12.3."""
-    body = lines.where(~parse.is_header(F.col(column)))
-    return _records(body, column, parse.blank_fields, lambda n: n >= 4, parse.rescued_number)
+    """Report lines of at least four tab or blank separated fields; ``12.3s`` is rescued as 12.3.
+
+    The header line needs no test of its own: it does not start with the workload name.
+    """
+    return _records(lines, column, parse.blank_fields(F.col(column)), lambda n: n >= 4, parse.rescued_number)
 
 
 def first_nonempty(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
