@@ -37,7 +37,8 @@ def build_dataset(runs: DataFrame) -> Dataset:
         frame = frame.withColumn("is_default", F.lit(0))
     features = [c for c in FEATURES if c in frame.columns]
     target = next(c for c in TARGETS if c in frame.columns)
-    frame = frame.na.drop(subset=[target]).withColumn("label", F.col(target).cast("double"))
+    label = F.col(target).cast("double")
+    frame = frame.where(F.col(target).isNotNull() & ~F.isnan(label)).withColumn("label", label)
     categorical = [c for c in CATEGORICAL if c in features]
     return Dataset(frame, [c for c in features if c not in categorical], categorical, target)
 

@@ -16,11 +16,11 @@ from tallyloom.session import fits_one_task
 BLOCK_ROWS = 1_000_000
 
 
-def _keyed(df: DataFrame, by: Sequence[str], blocks: Sequence[str], order: Sequence[str], block_rows: int):
+def _keyed(df: DataFrame, by: Sequence[str], blocks: Sequence[str], order: Sequence[str], block_rows: int | None):
     if blocks:
         parts = [F.col(b) for b in blocks]
     else:
-        parts = [F.floor(F.col(order[0]) / block_rows).alias("_slot")]
+        parts = [F.floor(F.col(order[0]) / (block_rows or BLOCK_ROWS)).alias("_slot")]
     # One struct is the join key and the window partition at once, so the rows are shuffled a single time.
     # NULLs inside a struct compare equal, as grouping needs.
     key = F.struct(F.struct(F.lit(0).alias("_all"), *by).alias("group"), F.struct(*parts).alias("block"))
@@ -38,12 +38,12 @@ def _carried(keyed: DataFrame, total: Column, combine) -> DataFrame:
 
 def number_rows(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), blocks: Sequence[str] = (),
-    out: str = "run_idx", block_rows: int = BLOCK_ROWS, one_task: bool | None = None,
+    out: str = "run_idx", block_rows: int | None = None, one_task: bool | None = None,
 ) -> DataFrame:
     """``row_number`` from 1 per group in the given order.
 
-    ``order`` starts with a whole-number column that is cut into blocks of ``block_rows`` values, unless
-    ``blocks`` names columns that come before it in the order, such as file and offset.
+    ``order`` starts with a whole-number column, unique per group, that is cut into blocks of ``block_rows``
+    values, unless ``blocks`` names columns that come before it in the order, such as file and offset.
     """
     if fits_one_task(df) if one_task is None else one_task:
         whole = Window.partitionBy(*by).orderBy(*blocks, *order)
@@ -57,7 +57,7 @@ def number_rows(
 
 def running_min(
     df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), blocks: Sequence[str] = (),
-    out: str = "best", block_rows: int = BLOCK_ROWS, one_task: bool | None = None,
+    out: str = "best", block_rows: int | None = None, one_task: bool | None = None,
 ) -> DataFrame:
     """Smallest value so far per group, the row itself included."""
     if fits_one_task(df) if one_task is None else one_task:

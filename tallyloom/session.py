@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 # Below this input size one task can sort or hold a whole group, even if all rows are in it.
-ONE_TASK_BYTES = 256 * 1024 * 1024
+ONE_TASK_BYTES = 64 * 1024 * 1024
 
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
@@ -72,12 +72,12 @@ def fits_one_task(df: DataFrame) -> bool:
     return plan_bytes(df) <= ONE_TASK_BYTES
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its row count is within ``max_rows``, else leave it to a shuffle join.
+def broadcast_checked(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast if its row count is within BROADCAST_ROWS, else leave it to a shuffle join.
 
     Call it on a checkpointed frame: the check reads the stored rows, it does not recompute them.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:

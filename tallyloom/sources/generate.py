@@ -54,10 +54,13 @@ def writer_plan(input_gb: int, parallelism: int) -> tuple[int, int]:
 
 
 def write_random_text(spark: SparkSession, path: str, input_gb: int, parallelism: int) -> int:
-    """Replace ``path`` by about ``input_gb`` GB of random text; returns the number of lines."""
+    """Replace ``path`` by about ``input_gb`` GB of random text; returns the number of lines.
+
+    The writer rule stops at 64 writers; beyond it more tasks share the work, so that none writes over 1 GB.
+    """
     writers, per_writer = writer_plan(input_gb, parallelism)
     total = input_gb * GIB
-    files = max(1, min(writers, total // per_writer))
+    files = max(1, min(writers, total // per_writer), input_gb)
     line_bytes = WORD_BYTES * (SHORTEST_LINE + LONGEST_LINE) // 2
     n = total // line_bytes
     random_text(spark.range(0, n, 1, files), "id").write.mode("overwrite").text(path)

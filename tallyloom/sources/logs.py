@@ -61,11 +61,12 @@ def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def first_nonempty(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
-    """All rows of ``preferred``; those of ``fallback`` only if ``preferred`` has none.
+    """``preferred`` if it has any row, else ``fallback``.
 
-    The emptiness test is an uncorrelated NOT EXISTS, which Spark runs as a one-row subquery.
+    The test is a job of its own that stops at the first record; the plan then holds one source only, so the
+    other one is not scanned for nothing.
     """
-    return preferred.unionByName(fallback.where(~preferred.select(F.lit(1).alias("hit")).exists()))
+    return fallback if preferred.isEmpty() else preferred
 
 
 def comma_line(benchmark="benchmark", engine="engine", scale="scale", duration="duration_sec"):

@@ -25,3 +25,23 @@ def test_only_file_and_forest_queries_lack_sql():
 def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["word", "n"] and not frame.isEmpty()
+
+
+SIZED = [
+    "wc_words", "runs_enriched", "runs_numbered", "run_stats", "log_stats", "agg_rows", "speedup_top20", "dummy_metrics",
+    "metrics_wide", "best_so_far", "eventlog_rollup",
+]
+
+
+@pytest.mark.parametrize("name", SIZED)
+def test_large_input_form_equals_sql(spark, data, connection, name, monkeypatch):
+    """The forms chosen for inputs beyond one task, without broadcasts."""
+    monkeypatch.setattr("tallyloom.session.ONE_TASK_BYTES", -1)
+    monkeypatch.setattr("tallyloom.session.SCAN_SPLIT_BYTES", 0)
+    monkeypatch.setattr("tallyloom.session.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("tallyloom.operators.ordered.BLOCK_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert compare(entry.queries()[name](spark, data), connection, entry.oracle_sql()[name]) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
