@@ -20,7 +20,8 @@ MEASURED_LINE = r"^WordCount\s+Spark\s+"
 def strict_number(text: Column) -> Column:
     """Finite number or NULL. Words such as nan or inf and type suffixes (``5d``) are not numbers here."""
     number = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    # The lambda binds the number, so it is parsed once.
+    return F.get(F.filter(F.array(number), lambda x: F.abs(x) < float("inf")), F.lit(0))
 
 
 def rescued_number(text: Column) -> Column:

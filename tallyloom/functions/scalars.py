@@ -63,6 +63,10 @@ def elapsed_sec(start_ns: Column, end_ns: Column) -> Column:
     return F.call_function("div", end_ns - start_ns, F.lit(1_000_000).cast("bigint")) / F.lit(1000.0)
 
 
+def elapsed_whole_sec(start_s: Column, end_s: Column) -> Column:
+    return (end_s - start_s).cast("double")
+
+
 def epoch_ns(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * F.lit(1000).cast("bigint")
 
@@ -85,6 +89,7 @@ def config_label(executors: Column, cores: Column, memory: Column, par: Column,
 
 def submit_options(row: dict[str, Column]) -> Column:
     """The ``--conf`` options of a run, from the columns of its configuration."""
+    # Option names and their order.
     options = {
         "spark.executor.instances": row["executors"].cast("string"),
         "spark.executor.cores": row["executor_cores"].cast("string"),

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom import session
 from tallyloom.functions.scalars import round3
-from tallyloom.session import broadcast_checked, cut_lineage, fits_one_task
+from tallyloom.session import cut_lineage, fits_one_task
 
 # The reported percentiles.
 PERCENTS = {"p50_sec": 0.50, "p90_sec": 0.90, "p99_sec": 0.99}
@@ -58,14 +59,17 @@ def exact_percentiles(
         .where(F.exists(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c"))))
         .drop("c")
     )
-    slots = broadcast_checked(cut_lineage(slots))
+    slots = cut_lineage(slots)
+    count = F.count("*").alias("c")
+    if slots.count() <= session.BROADCAST_ROWS:
+        counted = slotted.join(F.broadcast(slots), "_key").groupBy("_key", "_v", "below", "n").agg(count)
+    else:
+        # Equal values are merged before the join, so a value with very many rows is one row per task.
+        counted = slotted.groupBy("_key", "_v").agg(count).join(slots, "_key")
 
     same_slot = Window.partitionBy("_key").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     first_rank = F.col("below") + F.coalesce(F.sum("c").over(same_slot), F.lit(0))
-    ranked = (
-        slotted.join(slots, "_key").groupBy("_key", "_v", "below", "n").agg(F.count("*").alias("c"))
-        .select("_key.group", "_v", "n", "c", first_rank.alias("first"))
-    )
+    ranked = counted.select("_key.group", "_v", "n", "c", first_rank.alias("first"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("c")), F.col("_v")))

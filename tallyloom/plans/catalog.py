@@ -90,6 +90,11 @@ def runs_from_report(spark, folder):
     return logs.parse_report(fixtures.report_lines(spark, folder))
 
 
+@registered
+def report_body(spark, folder):
+    return logs.body_lines(fixtures.report_lines(spark, folder))
+
+
 @registered
 def runs_fallback(spark, folder):
     """Report lines are no comma log, so the preferred source yields nothing and the report is used."""

@@ -195,6 +195,10 @@ ORACLES["runs_from_csv_log"] = f"WITH {COMMA_LINES} SELECT * FROM comma_runs"
 
 ORACLES["runs_from_report"] = f"WITH {REPORT_LINES} SELECT seq, benchmark, engine, scale, duration_sec FROM report_runs"
 
+ORACLES["report_body"] = f"""
+WITH {REPORT_LINES}
+SELECT seq, line AS value FROM report_lines WHERE trim(line, ' ' || chr(9)) <> '' AND NOT lower(line) LIKE 'benchmark%'"""
+
 ORACLES["runs_fallback"] = ORACLES["runs_from_report"]
 
 ORACLES["runs_preferred"] = ORACLES["runs_from_csv_log"]

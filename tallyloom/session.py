@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # A side with at most this many rows is broadcast; beyond it the join stays a shuffle join.
 BROADCAST_ROWS = 200_000
@@ -16,6 +16,9 @@ ONE_TASK_BYTES = 64 * 1024 * 1024
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
+# A small input is dealt out to tasks of at least this size.
+SPREAD_TASK_BYTES = 16 * 1024
+
 
 def build_session(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators count on: AQE with skew splitting, UTC."""
@@ -72,18 +75,13 @@ def fits_one_task(df: DataFrame) -> bool:
     return plan_bytes(df) <= ONE_TASK_BYTES
 
 
-def broadcast_checked(df: DataFrame) -> DataFrame:
-    """Mark ``df`` for broadcast if its row count is within BROADCAST_ROWS, else leave it to a shuffle join.
-
-    Call it on a checkpointed frame: the check reads the stored rows, it does not recompute them.
-    """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """Deal out an input that is too small to give every core a scan split of its own, by a unique key.
 
     A large input has many splits already and is returned untouched, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if plan_bytes(df) < cores * SCAN_SPLIT_BYTES else df
+    size = plan_bytes(df)
+    if size >= cores * SCAN_SPLIT_BYTES:
+        return df
+    return df.repartition(max(1, min(cores, size // SPREAD_TASK_BYTES)), key)

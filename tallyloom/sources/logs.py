@@ -60,6 +60,11 @@ def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
     return _records(lines, column, parse.blank_fields(F.col(column)), lambda n: n >= 4, parse.rescued_number)
 
 
+def body_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are neither blank nor a header."""
+    return lines.where(~parse.is_blank(F.col(column)) & ~parse.is_header(F.col(column)))
+
+
 def first_nonempty(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
     """``preferred`` if it has any row, else ``fallback``.
 

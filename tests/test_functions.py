@@ -100,8 +100,9 @@ def test_request_and_elapsed(spark):
         scalars.overhead_gb(F.lit(2)).alias("small"), scalars.overhead_gb(F.lit(8)).alias("large"),
         scalars.request_gb(F.lit(2), F.lit(4)).alias("request"),
         scalars.elapsed_sec(F.lit(1_000_000_000), F.lit(3_456_789_999)).alias("sec"), scalars.text3(F.lit(1.23456)).alias("t"),
+        scalars.elapsed_whole_sec(F.lit(10), F.lit(14)).alias("whole"),
     ).first()
-    assert (row.small, row.large, row.request, row.sec, row.t) == (0.384, 0.8, 8.8, 2.456, "1.235")
+    assert (row.small, row.large, row.request, row.sec, row.t, row.whole) == (0.384, 0.8, 8.8, 2.456, "1.235", 4.0)
 
 
 def test_errors_and_speedup_with_zero(spark):
