@@ -13,12 +13,12 @@ from tallyloom.session import cut_lineage, fits_one_task
 # The reported percentiles.
 PERCENTS = {"p50_sec": 0.50, "p90_sec": 0.90, "p99_sec": 0.99}
 
-SLOTS_PER_OCTAVE = 4096
+SLOTS_PER_OCTAVE = 1024
 SLOT_UNIT = 1000.0
 
 
 def _slot(value: Column) -> Column:
-    """Monotone map of a number to a log-scaled slot, far below a thousandth of its magnitude wide."""
+    """Monotone map of a number to a log-scaled slot that spans less than a thousandth of its magnitude."""
     size = F.log2(F.lit(1.0) + F.abs(value) * F.lit(SLOT_UNIT)) * F.lit(float(SLOTS_PER_OCTAVE))
     return F.floor(F.signum(value) * size)
 

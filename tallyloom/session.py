@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 # Below this input size one task can sort or hold a whole group, even if all rows are in it.
-ONE_TASK_BYTES = 64 * 1024 * 1024
+ONE_TASK_BYTES = 32 * 1024 * 1024
 
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
