@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, mixing, near_dedup, sharding
+from tallyloom.llm import bpe, ctw, exact_dedup, html_text, language, mixing, near_dedup, sharding, topk, url_rules
 from tallyloom.llm.common import table
 
 LLM_REGISTRY = {}
@@ -52,3 +52,29 @@ def op9_tree_bpe(spark, folder):
 def op10_circulant_minhash(spark, folder):
     groups = near_dedup.near_groups(table(spark, folder, "documents"), size=4)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@registered
+def op2_context_tree(spark, folder):
+    return ctw.score_documents(table(spark, folder, "documents"))
+
+
+@registered
+def op3_url_rules(spark, folder):
+    return url_rules.judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+@registered
+def op5_language(spark, folder):
+    found = language.identify(table(spark, folder, "documents"), language.page_evidence(table(spark, folder, "pages")))
+    return found.select("doc_id", "language", "posterior", "accepted", "declared")
+
+
+@registered
+def op7_threshold_top(spark, folder):
+    return topk.top_inner_products(table(spark, folder, "embeddings"))
+
+
+@registered
+def op4_tree_model_text(spark, folder):
+    return html_text.extract_text(table(spark, folder, "pages"))
