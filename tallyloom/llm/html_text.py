@@ -40,10 +40,12 @@ OTHER_WORDS = (
     "subscribe signup login share sharing social related recommended comment comments reply replies respond disqus "
     "discussion widget toolbar pagination pager copyright legal disclaimer skip button dialog search"
 )
-WORD_COUNT = 30.0
+OTHER = frozenset(OTHER_WORDS.split())
+WORD_COUNT = 100.0
 PAIR_COUNT = 20.0
-# Share of children that are content below content, and below the rest: elements, and blocks of text.
-BELOW = {"element": (0.8, 0.25), "text": (0.98, 0.03)}
+# Share of children that are content below content, and below the rest: elements, elements in a part whose name says
+# that it isn't content, and blocks of text.
+BELOW = {"element": (0.7, 0.25), "named": (0.7, 0.03), "text": (0.98, 0.03)}
 
 # Elements that any part of a page may use; their names say little beyond the pages they were counted on.
 ANYWHERE = frozenset("html body div section p ul ol li dl dt dd table tbody thead tr td th blockquote center figure pre span".split())
@@ -192,6 +194,10 @@ class Page:
             if tag not in BLOCK and self.stack[k][1] >= 0:
                 return  # an inline end tag doesn't close blocks
 
+    def kind(self, i: int) -> str:
+        """Which pair potential a variable has with its parent."""
+        return "text" if i in self.texts else "element" if OTHER.isdisjoint(self.features[self.parent[i]]) else "named"
+
 
 def weak_labels(page: Page) -> list[int] | None:
     """Labels that a page's own markup declares: an article (or else main) element with what is in it, but for parts
@@ -202,10 +208,10 @@ def weak_labels(page: Page) -> list[int] | None:
             break
     else:
         return None
-    other, labels = set(OTHER_WORDS.split()), [0] * len(page.parent)
+    labels = [0] * len(page.parent)
     for i, f in enumerate(page.features):
         up = page.parent[i]
-        says_other = not f[0].startswith("#") and not other.isdisjoint(f)
+        says_other = not f[0].startswith("#") and not OTHER.isdisjoint(f)
         labels[i] = int((marks.isdisjoint(f) is False or (up >= 0 and labels[up] == 1)) and not says_other)
     return labels
 
@@ -225,14 +231,14 @@ class TreeModel:
         self.pair = {k: (pair(k, 0, 0), pair(k, 0, 1), pair(k, 1, 0), pair(k, 1, 1)) for k in BELOW}
         of = [1.0 + sum(n[y] for n in words.values()) for y in (0, 1)]
         self.ratio = {}
-        for word in {*words, *CONTENT_WORDS.split(), *OTHER_WORDS.split()}:
+        for word in {*words, *CONTENT_WORDS.split(), *OTHER}:
             n0, n1 = words.get(word, (0.0, 0.0))
             if word.startswith("#"):  # looks of a text are weak evidence: many kinds of parts share them
                 self.ratio[word] = 0.5 * max(-2.0, min(2.0, math.log(((n1 + 5) / of[1]) / ((n0 + 5) / of[0]))))
                 continue
             weight = min(1.0, 200.0 / (n0 + n1)) if n0 + n1 else 0.0
             n1 = n1 * weight + (WORD_COUNT if word in CONTENT_WORDS.split() else 0) + 1
-            n0 = n0 * weight + (WORD_COUNT if word in OTHER_WORDS.split() else 0) + 1
+            n0 = n0 * weight + (WORD_COUNT if word in OTHER else 0) + 1
             self.ratio[word] = math.log(n1 / n0) * (0 if word in ("html", "body") else 0.2 if word in ANYWHERE else 1)
         self.cache: dict[tuple, float] = {}
 
@@ -249,7 +255,7 @@ class TreeModel:
         n, parent = len(page.parent), page.parent
         own0, own1 = [1.0] * n, [self.odds(f) for f in page.features]
         up0, up1 = [1.0] * n, [1.0] * n  # message from a variable to its parent
-        pair = [self.pair["text" if i in page.texts else "element"] for i in range(n)]
+        pair = [self.pair[page.kind(i)] for i in range(n)]
         for i in range(n - 1, 0, -1):
             a, b = own0[i], own1[i]
             p00, p01, p10, p11 = pair[i]
@@ -295,7 +301,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> TreeModel:
                     for i, f in enumerate(page.features):
                         counts.update((word, labels[i]) for word in f)
                         if i:
-                            counts[f"={labels[page.parent[i]]}{'text' if i in page.texts else 'element'}", labels[i]] += 1
+                            counts[f"={labels[page.parent[i]]}{page.kind(i)}", labels[i]] += 1
         words, states = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array(states, pa.int32()), pa.array(list(counts.values()), pa.int64())],
