@@ -11,16 +11,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.session import fits_one_task
-
-BLOCK_ROWS = 1_000_000
-
+from tallyloom.session import cut_lineage, fits_one_task
 
 def _keyed(df: DataFrame, by: Sequence[str], blocks: Sequence[str], order: Sequence[str], block_rows: int | None):
     if blocks:
         parts = [F.col(b) for b in blocks]
     else:
-        parts = [F.floor(F.col(order[0]) / (block_rows or BLOCK_ROWS)).alias("_slot")]
+        # Dealt by range of group and order, so blocks hold about equally many rows whatever the type and the values
+        # are, and there are no more of them than partitions. Stored: the bounds of a range may differ if drawn again.
+        wanted = [-(-df.count() // block_rows)] if block_rows else []
+        dealt = df.repartitionByRange(*wanted, *[F.col(c) for c in (*by, *order)])
+        df = cut_lineage(dealt.withColumn("_block", F.spark_partition_id()))
+        parts = [F.col("_block")]
     # One struct is the join key and the window partition at once, so the rows are shuffled a single time.
     # NULLs inside a struct compare equal, as grouping needs.
     key = F.struct(F.struct(F.lit(0).alias("_all"), *by).alias("group"), F.struct(*parts).alias("block"))
@@ -42,8 +44,9 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` from 1 per group in the given order.
 
-    ``order`` starts with a whole-number column, unique per group, that is cut into blocks of ``block_rows``
-    values, unless ``blocks`` names columns that come before it in the order, such as file and offset.
+    ``order`` is unique per group and of any type that sorts. Its rows are dealt into blocks by range, of about
+    ``block_rows`` rows or as many as there are shuffle partitions, unless ``blocks`` names columns that come before it
+    in the order, such as file and offset.
     """
     if fits_one_task(df) if one_task is None else one_task:
         whole = Window.partitionBy(*by).orderBy(*blocks, *order)

@@ -5,19 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A side with at most this many rows is broadcast; beyond it the join stays a shuffle join.
 BROADCAST_ROWS = 200_000
 
-# Below this input size one task can sort or hold a whole group, even if all rows are in it.
-ONE_TASK_BYTES = 32 * 1024 * 1024
+# Up to so many rows one task can sort or hold a whole group, even if all rows are in it.
+ONE_TASK_ROWS = 200_000
 
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
-# A small input is dealt out to tasks of at least this size.
+# A small input is dealt out to tasks of at least this size; one beyond the ceiling never is, on any cluster.
 SPREAD_TASK_BYTES = 16 * 1024
+SPREAD_CEILING_BYTES = 1 << 30
 
 
 def build_session(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,16 +73,17 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    return plan_bytes(df) <= ONE_TASK_BYTES
+    """Counts rows, of which it stops reading at the limit; file sizes say little about rows behind a compression."""
+    return df.select(F.lit(1)).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
 
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """Deal out an input that is too small to give every core a scan split of its own, by a unique key.
 
-    A large input has many splits already and is returned untouched, so nothing is shuffled at scale.
+    A large input has many splits already and is returned untouched; above 1 GB nothing is shuffled, whatever the cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = plan_bytes(df)
-    if size >= cores * SCAN_SPLIT_BYTES:
+    if size >= min(cores * SCAN_SPLIT_BYTES, SPREAD_CEILING_BYTES):
         return df
     return df.repartition(max(1, min(cores, size // SPREAD_TASK_BYTES)), key)

@@ -309,3 +309,50 @@ def test_forest_searches_beat_the_median(spark):
     assert annealed.score < dummy and annealed.trace.count() == 3
     curve = models.learning_curve(train, test, ["id"], {"numTrees": 3, "maxDepth": 4}, [50, 100])
     assert [r.fraction for r in curve.collect()] == [0.5, 1.0]
+
+
+AWKWARD = {
+    "missing": [1.0, 2.0, 4.0, float("nan"), None],
+    "infinite": [1.0, float("inf"), float("-inf"), 5.0, None],
+    "one day": [1_700_000_000.0 + i * 0.25 for i in range(4000)],
+    "tiny": [i * 1e-300 for i in range(-700, 2300)],
+    "close": [1000.0 + i * 1e-7 for i in range(3000)],
+    "equal": [7.25] * 3000,
+    "wide": [-1.7e308, -1.0, 0.0, 1e-308, 1.0, 1.7e308],
+}
+
+
+def test_both_percentile_forms_agree_on_any_distribution(spark, monkeypatch):
+    """Slots that hold too many rows are cut until they are small; NaN and infinities count nowhere."""
+    monkeypatch.setattr(stats, "SLOT_ROWS", 50)
+    data = [(key, v) for key, values in AWKWARD.items() for v in values]
+    frame = spark.createDataFrame(data, "key STRING, v DOUBLE").repartition(5)
+    wanted = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p100": 1.0}
+    moments = [F.count("v").alias("n"), F.avg("v").alias("mean")]
+    small, large = (
+        {r.key: r for r in stats.grouped_summary(frame, ["key"], moments, "v", wanted, one_task=form).collect()}
+        for form in (True, False)
+    )
+    assert set(small) == set(large) == set(AWKWARD)
+    for key, values in AWKWARD.items():
+        finite = sorted(v for v in values if v is not None and abs(v) < float("inf"))
+        assert small[key].n == large[key].n == len(finite)
+        for name, p in wanted.items():
+            assert large[key][name] == pytest.approx(linear(finite, p), rel=1e-12, abs=0)
+            assert small[key][name] == pytest.approx(large[key][name], rel=1e-12, abs=0)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "timestamp", "string", "double"])
+def test_numbering_by_any_order_type(spark, kind):
+    """Sparse nanosecond values, timestamps, texts: blocks follow rows, not values."""
+    ids = spark.range(3000, numPartitions=7)
+    order = {
+        "bigint": F.col("id") * 5_000_000, "timestamp": F.timestamp_millis(F.col("id") * 5),
+        "string": F.lpad(F.col("id").cast("string"), 6, "0"), "double": F.col("id") * 1e-9,
+    }[kind]
+    frame = ids.select("id", order.alias("at"))
+    for settings in ({"one_task": True}, {"one_task": False}, {"one_task": False, "block_rows": 100}):
+        got = ordered.number_rows(frame, ["at"], **settings).collect()
+        assert all(r.run_idx == r.id + 1 for r in got) and len(got) == 3000
+        low = ordered.running_min(frame.withColumn("v", F.abs(F.col("id") - 1500)), "v", ["at"], **settings).collect()
+        assert all(r.best == (1500 - r.id if r.id < 1500 else 0) for r in low)
