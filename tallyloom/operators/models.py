@@ -6,14 +6,16 @@ distributed feature table.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyloom.functions.scalars import squared_error
 from tallyloom.operators.features import FRACTION_PERCENTS, fold_of, fraction_bucket
@@ -102,12 +104,13 @@ def random_search(
             for p in candidates for k in range(folds)
         ]
         scores = _in_parallel(train, tasks, parallelism)
+        means = [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(draws)]
+        best = min(range(draws), key=means.__getitem__)
+        model = forest(candidates[best], seed).fit(folded)
     finally:
         folded.unpersist()
-    means = [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(draws)]
-    best = min(range(draws), key=means.__getitem__)
     trace = train.sparkSession.createDataFrame(list(enumerate(means)), "iter INT, score DOUBLE")
-    return SearchResult(forest(candidates[best], seed).fit(train), candidates[best], means[best], trace)
+    return SearchResult(model, candidates[best], means[best], trace)
 
 
 def annealed_search(
@@ -127,46 +130,43 @@ def annealed_search(
     try:
         tasks = [lambda p=p: _fit_score(fitted, held_out, p, seed) for p in candidates]
         scores = _in_parallel(train, tasks, parallelism)
+        best = min(range(len(scores)), key=scores.__getitem__)
+        model = forest(candidates[best], seed).fit(fitted)
     finally:
         fitted.unpersist()
         held_out.unpersist()
-    best = min(range(len(scores)), key=scores.__getitem__)
     scored = train.sparkSession.createDataFrame(
         list(zip(range(len(scores)), scores, chances)), "iter INT, score DOUBLE, u DOUBLE"
     )
     trace = anneal_history(scored, start=start, cooling=cooling)
-    return SearchResult(forest(candidates[best], seed).fit(train), candidates[best], scores[best], trace)
+    return SearchResult(model, candidates[best], scores[best], trace)
 
 
 def anneal_history(
     scored: DataFrame, by: Sequence[str] = (), start: float = ANNEAL_START, cooling: float = ANNEAL_COOLING,
-    max_steps: int = 10_000,
 ) -> DataFrame:
     """Current score after each step of a search, replayed from the scored draws.
 
     A draw is accepted if it is better than the current one or if ``u`` is below exp(gain / temperature); the
-    temperature cools by a factor per step. The replay depends on the step before, so a search is one array;
-    each of its steps stands for a model fit. A search of more than ``max_steps`` steps is an error, no step is dropped.
+    temperature cools by a factor per step. The replay depends on the step before, so a search is one pandas group;
+    each of its steps stands for a model fit. Different searches are replayed side by side.
     """
-    draw = F.struct(F.col("iter").cast("int").alias("iter"), F.col("score").cast("double").alias("score"), "u")
-    steps = F.sort_array(F.collect_list(draw))
-    searches = scored.groupBy(*by).agg(steps.alias("_steps"), F.count("*").alias("_n")).where("_n > 0")
-    limit = F.when(F.col("_n") > max_steps, F.raise_error(F.lit("search trace longer than max_steps")))
-    searches = searches.where(F.coalesce(limit.cast("boolean"), F.lit(True)))
-    history_type = "struct<cur: double, history: array<struct<iter: int, score: double>>>"
-    first = F.get("_steps", F.lit(0))
-    initial = F.struct(first["score"].alias("cur"), F.array(F.struct(first["iter"], first["score"])).alias("history"))
-
-    def step(state, draw):
-        gain = state["cur"] - draw["score"]
-        temperature = F.greatest(F.lit(start) * F.pow(F.lit(cooling), draw["iter"] - 1), F.lit(1e-8))
-        accepted = (draw["score"] < state["cur"]) | (draw["u"] < F.exp(gain / temperature))
-        current = F.when(accepted, draw["score"]).otherwise(state["cur"])
-        history = F.concat(state["history"], F.array(F.struct(draw["iter"].alias("iter"), current.alias("score"))))
-        return F.struct(current.alias("cur"), history.alias("history")).cast(history_type)
-
-    replay = F.aggregate(F.slice("_steps", F.lit(2), F.size("_steps")), initial.cast(history_type), step)
-    return searches.select(*by, F.inline(replay["history"]))
+    by = list(by)
+
+    def replay(steps: pd.DataFrame) -> pd.DataFrame:
+        steps = steps.sort_values(["iter", "score"], kind="stable")
+        current, scores = None, []
+        for i, score, u in zip(steps["iter"].tolist(), steps["score"].tolist(), steps["u"].tolist()):
+            temperature = max(start * cooling ** (i - 1), 1e-8)
+            if current is None or score < current or u < math.exp(min(0.0, (current - score) / temperature)):
+                current = score
+            scores.append(current)
+        return steps.assign(score=scores)[[*by, "iter", "score"]]
+
+    draws = scored.select(*by, F.col("iter").cast("int").alias("iter"), F.col("score").cast("double").alias("score"), "u")
+    groups = [scored.schema[c] for c in by]
+    out = T.StructType([*groups, T.StructField("iter", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    return draws.groupBy(*by).applyInPandas(replay, out)
 
 
 def learning_curve(
@@ -174,11 +174,12 @@ def learning_curve(
     seed: int = 0, parallelism: int = 3,
 ) -> DataFrame:
     """Test RMSE of a forest per train fraction; 100 percent means all train rows."""
-    bucketed = train.withColumn("_bucket", fraction_bucket(key)).persist()
+    bucketed, held_out = train.withColumn("_bucket", fraction_bucket(key)).persist(), test.persist()
     try:
-        tasks = [lambda p=p: _fit_score(bucketed.where(F.col("_bucket") < p), test, params, seed) for p in percents]
+        tasks = [lambda p=p: _fit_score(bucketed.where(F.col("_bucket") < p), held_out, params, seed) for p in percents]
         scores = _in_parallel(train, tasks, parallelism)
     finally:
         bucketed.unpersist()
+        held_out.unpersist()
     rows = [(p / 100.0, score) for p, score in zip(percents, scores)]
     return train.sparkSession.createDataFrame(rows, "fraction DOUBLE, rmse DOUBLE")

@@ -20,13 +20,36 @@ def worker_totals(workers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def executors_that_fit(requests: DataFrame, workers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``requests`` with ``fitting``: how many of their executors the workers can run, each on one worker.
+
+    A worker runs as many as its cores and its memory allow. Workers of the same size are counted first, so the join
+    has one row per request and worker size.
+    """
+    need = F.col("executor_memory_gb") + overhead_gb(F.col("executor_memory_gb"))
+    sizes = workers.select(*by, "cores", memory_gb(F.col("memory")).alias("gb")).groupBy(*by, "cores", "gb").agg(
+        F.count("*").alias("like")
+    )
+    packed = sizes.groupBy(*by).agg(F.collect_list(F.struct("cores", "gb", "like")).alias("_sizes"))
+    if by:
+        joined = requests.join(packed, list(by), "left")
+    else:
+        joined = requests.withColumn("_sizes", packed.select("_sizes").scalar())
+    per_worker = lambda w: F.least(
+        F.floor(w["cores"] / F.col("executor_cores")), F.floor(w["gb"] / need)
+    ) * w["like"]
+    total = F.aggregate("_sizes", F.lit(0).cast("bigint"), lambda n, w: n + F.coalesce(per_worker(w), F.lit(0)).cast("bigint"))
+    return joined.withColumn("fitting", F.coalesce(total, F.lit(0))).drop("_sizes")
+
+
 def preflight(requests: DataFrame, workers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Verdict per request: ``ok``, ``reject``, ``skipped`` without workers, ``unknown`` if a memory size is unreadable.
 
     The memory request is compared in whole gigabytes; ``exact_fit`` tells if it also holds without
-    that truncation. With ``by`` each request is compared to the workers that share its key (one total row
+    that truncation, and ``worker_fit`` if every executor finds a worker that can hold it. With ``by`` each request is compared to the workers that share its key (one total row
     per key), else to all workers (a one-row subquery).
     """
+    requests = executors_that_fit(requests, workers, by)
     totals = worker_totals(workers, by)
     if by:
         joined = requests.join(totals, list(by), "left")
@@ -47,4 +70,6 @@ def preflight(requests: DataFrame, workers: DataFrame, by: Sequence[str] = ()) -
     exact = ~too_many_cores & (F.col("req_mem_gb") <= F.col("sum_mem_gb"))
     return wanted.withColumn("verdict", verdict).withColumn(
         "exact_fit", F.when(F.col("verdict").isin("ok", "reject"), exact)
+    ).withColumn(
+        "worker_fit", F.when(F.col("verdict").isin("ok", "reject"), F.col("fitting") >= F.col("executors"))
     )

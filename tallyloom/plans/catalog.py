@@ -53,14 +53,14 @@ def wc_distinct(spark, folder):
 
 @registered
 def range_count(spark, folder):
-    n = table(spark, folder, "lineitem").count()
-    return generate.integers(spark, n).agg(F.count("*").alias("n"))
+    """One integer per line item, counted."""
+    return table(spark, folder, "lineitem").select(generate.row_number().alias("id")).agg(F.count("id").alias("n"))
 
 
 @registered
 def gen_constant_lines(spark, folder):
-    n = table(spark, folder, "orders").count()
-    return wordcount.word_counts(generate.constant_lines(spark, n))
+    """The fixed line once per order, counted."""
+    return wordcount.word_counts(table(spark, folder, "orders").select(generate.constant_line().alias("value")))
 
 
 @registered
@@ -305,7 +305,7 @@ def resource_preflight(spark, folder):
     verdicts = resources.preflight(fixtures.requests(spark, folder), fixtures.workers(spark, folder), ["cluster"])
     return verdicts.select(
         "p_partkey", "cluster", "req_cores", F.round("req_mem_gb", 6).alias("req_mem_gb"), "sum_cores", "sum_mem_gb",
-        "verdict", "exact_fit",
+        "verdict", "exact_fit", "worker_fit",
     )
 
 
@@ -402,12 +402,15 @@ def anneal_replay(spark, folder):
     return models.anneal_history(fixtures.scored_draws(spark, folder), ["search_id"])
 
 
-# Smoke-sized spaces for the registered searches; the functions keep the full spaces as defaults.
-SMALL_SPACE = {"trees": range(5, 11), "depths": range(3, 6)}
+# Forests are fitted on about so many train rows, picked by hash; draws, folds, steps and spaces are the full ones, and
+# scores are over all test rows.
+FIT_ROWS = 600
 
 
 def _encoded(spark, folder):
     _, train, test = _split_rows(spark, folder)
+    share = max(1, (1 << 20) * FIT_ROWS // max(1, train.count()))
+    train = train.where(F.pmod(F.xxhash64(F.lit("fit"), *fixtures.ROW_KEY), F.lit(1 << 20)) < share)
     model = features.fit_encoder(train, ["l_extendedprice", "l_discount", "l_tax", "l_quantity"], ["l_returnflag"])
     needed = [*fixtures.ROW_KEY, "features", "label"]
     return model.transform(train).select(needed), model.transform(test).select(needed), train, test
@@ -417,7 +420,7 @@ def _encoded(spark, folder):
 def rf_search(spark, folder):
     """Metrics of the searched forest next to those of the constant median."""
     train, test, raw_train, raw_test = _encoded(spark, folder)
-    found = models.random_search(train, fixtures.ROW_KEY, draws=3, folds=2, **SMALL_SPACE)
+    found = models.random_search(train, fixtures.ROW_KEY)
     forest = found.model.transform(test).select(F.lit("RandomSearch_RF").alias("model"), "label", "prediction")
     return metrics.error_metrics(forest.unionByName(models.constant_predictions(raw_train, raw_test)))
 
@@ -427,13 +430,13 @@ def rf_anneal(spark, folder):
     """Trace of an annealed search; it is scored on a validation part of the train rows."""
     train, _, _, _ = _encoded(spark, folder)
     valid = scalars.hash_bucket(features.row_key(*fixtures.ROW_KEY, salt="valid")) < 25
-    return models.annealed_search(train.where(~valid), train.where(valid), steps=4, **SMALL_SPACE).trace
+    return models.annealed_search(train.where(~valid), train.where(valid)).trace
 
 
 @registered
 def rf_learning_curve(spark, folder):
     train, test, _, _ = _encoded(spark, folder)
-    params = {"numTrees": 8, "maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}
+    params = {"numTrees": 240, "maxDepth": 12, "minInstancesPerNode": 4, "featureSubsetStrategy": "all"}
     return models.learning_curve(train, test, fixtures.ROW_KEY, params)
 
 
@@ -483,7 +486,7 @@ def stream_run_stats(spark, folder):
 @registered
 def eventlog_rollup(spark, folder):
     tasks = event_logs.task_table(fixtures.event_log_lines(spark, folder))
-    return eventlog.stage_rollup(tasks)
+    return eventlog.stage_rollup(tasks, ["app"])
 
 
 @registered

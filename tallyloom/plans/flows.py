@@ -28,10 +28,6 @@ def measure_word_count(spark: SparkSession, text_path: str, log_path: str, scale
         logs.append_log(record.select(logs.comma_line().alias("value")), log_path)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return logs.read_ordered_lines(spark, path)
-
-
 def log_to_csv(
     spark: SparkSession, log_path: str, report_path: str, meta_path: str, runs_out: str, agg_out: str,
     by: Sequence[str] | None = None,
@@ -39,23 +35,32 @@ def log_to_csv(
     """Parse the run log (or, if it has no record, the report) and write the runs and the aggregate table.
 
     ``by=None`` gives one aggregate row for the whole log, else one per label. The runs table is written even
-    if it is empty, the aggregate table is not.
+    if it is empty, the aggregate table is not. Either file may be absent, or both. The source in use is parsed once.
     """
-    records = logs.first_nonempty(
-        logs.parse_comma_log(_lines(spark, log_path)), logs.parse_report(_lines(spark, report_path))
-    )
-    meta = metas.read_meta(spark, meta_path)
-    order = [*logs.LOG_BLOCK, *logs.LOG_ORDER]
-    runs = enriched_runs(records, meta, logs.LOG_ORDER, by or (), logs.LOG_BLOCK)
-    csvs.write_csv(runs, runs_out, RUNS.fieldNames())
-    csvs.write_csv(aggregate_rows(records, meta, by, order), agg_out, AGG.fieldNames(), skip_empty=True)
+    lines = lambda path: logs.read_ordered_lines(spark, path)
+    records = logs.first_nonempty(logs.parse_comma_log(lines(log_path)), logs.parse_report(lines(report_path))).persist()
+    try:
+        meta = metas.read_meta(spark, meta_path)
+        order = [*logs.LOG_BLOCK, *logs.LOG_ORDER]
+        runs = enriched_runs(records, meta, logs.LOG_ORDER, by or (), logs.LOG_BLOCK)
+        csvs.write_csv(runs, runs_out, RUNS.fieldNames())
+        csvs.write_csv(aggregate_rows(records, meta, by, order), agg_out, AGG.fieldNames(), skip_empty=True)
+    finally:
+        records.unpersist()
 
 
 def collect_tables(
-    spark: SparkSession, folder: str, out: str, name_glob: str = "*.csv", drop_duplicates: bool = False
+    spark: SparkSession, folder: str, out: str, name_glob: str = "*.csv", drop_duplicates: bool = False,
+    path_pattern: str | None = None,
 ) -> DataFrame:
-    """Collect all aggregate CSV files below ``folder`` into one CSV table."""
-    dataset = collect_dataset(csvs.collect_csv(spark, folder, name_glob, AGG), drop_duplicates)
+    """Collect all aggregate CSV files below ``folder`` into one CSV table.
+
+    ``path_pattern`` tells them from other tables below the same folder. ``out`` must lie elsewhere, or a second
+    collection would read the first one's result.
+    """
+    if f"{out.rstrip('/')}/".startswith(f"{folder.rstrip('/')}/"):
+        raise ValueError(f"{out} lies below {folder}, which is read")
+    dataset = collect_dataset(csvs.collect_csv(spark, folder, name_glob, AGG, path_pattern), drop_duplicates)
     csvs.write_csv(dataset, out)
     return dataset
 

@@ -350,13 +350,21 @@ req AS (
     SELECT p_partkey, CAST(p_partkey % 25 AS INTEGER) AS cluster, CAST((p_size % 4 + 1) * (p_size % 3 + 1) AS BIGINT) AS req_cores,
         (p_size % 4 + 1) * ((p_size % 8 + 1) + greatest(CAST(0.384 AS DOUBLE), CAST(0.1 AS DOUBLE) * (p_size % 8 + 1))) AS mem
     FROM part),
+each AS (
+    SELECT p_partkey, p_size % 4 + 1 AS executors, p_size % 3 + 1 AS ec, CAST(p_partkey % 25 AS INTEGER) AS cluster,
+        (p_size % 8 + 1) + greatest(CAST(0.384 AS DOUBLE), CAST(0.1 AS DOUBLE) * (p_size % 8 + 1)) AS need
+    FROM part),
+fit AS (
+    SELECT p_partkey, executors, coalesce(sum(least(floor(cores / ec), floor(gb / need))), 0) >= executors AS fits
+    FROM each LEFT JOIN workers USING (cluster) GROUP BY p_partkey, executors),
 v AS (
     SELECT *, CASE WHEN workers IS NULL THEN 'skipped' WHEN unknown_workers > 0 THEN 'unknown'
         WHEN req_cores > sum_cores OR trunc(mem) > sum_mem_gb THEN 'reject' ELSE 'ok' END AS verdict
     FROM req LEFT JOIN totals USING (cluster))
 SELECT p_partkey, cluster, req_cores, round(mem, 6) AS req_mem_gb, sum_cores, sum_mem_gb, verdict,
-    CASE WHEN verdict IN ('ok', 'reject') THEN req_cores <= sum_cores AND mem <= sum_mem_gb END AS exact_fit
-FROM v"""
+    CASE WHEN verdict IN ('ok', 'reject') THEN req_cores <= sum_cores AND mem <= sum_mem_gb END AS exact_fit,
+    CASE WHEN verdict IN ('ok', 'reject') THEN fits END AS worker_fit
+FROM v JOIN fit USING (p_partkey)"""
 
 ORACLES["resource_totals"] = f"""
 WITH {WORKERS}
@@ -429,12 +437,12 @@ FROM comma_runs GROUP BY benchmark, engine, scale"""
 
 ORACLES["eventlog_rollup"] = """
 WITH t AS (
-    SELECT CAST(user_id % 20 AS INTEGER) AS stage_id, event_id, CAST(round(value * 1000) AS BIGINT) AS ms
+    SELECT user_id AS app, CAST(user_id % 20 AS INTEGER) AS stage_id, event_id, CAST(round(value * 1000) AS BIGINT) AS ms
     FROM events WHERE event_type IN ('click', 'view'))
-SELECT stage_id, 0 AS attempt, count(*) AS tasks, max(ms) AS max_task_ms, CAST(sum(event_id * 10) AS BIGINT) AS shuffle_write_bytes,
+SELECT app, stage_id, 0 AS attempt, count(*) AS tasks, max(ms) AS max_task_ms, CAST(sum(event_id * 10) AS BIGINT) AS shuffle_write_bytes,
     CAST(sum(event_id * 4) AS BIGINT) AS shuffle_read_bytes,
     CAST(sum(CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS BIGINT) AS spill_bytes, median(ms) AS p50_task_ms
-FROM t GROUP BY stage_id"""
+FROM t GROUP BY app, stage_id"""
 
 ORACLES["app_durations"] = """
 SELECT user_id AS app,

@@ -74,6 +74,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 def fits_one_task(df: DataFrame) -> bool:
     """Counts rows, of which it stops reading at the limit; file sizes say little about rows behind a compression."""
+    if ONE_TASK_ROWS < 0:
+        return False
     return df.select(F.lit(1)).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
 
 

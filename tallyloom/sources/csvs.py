@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+# Quotes inside a quoted value are doubled.
+CSV = {"quote": '"', "escape": '"'}
 
-from tallyloom.operators.collect import union_by_name
 
-MAX_LAYOUTS = 1_000
-
-
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(paths)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` by name, whatever order and further columns the files' headers have; a column that a
+    file lacks is NULL."""
+    table = collect_csv(spark, path, "*", schema)
+    have = set(table.columns)
+    return table.select(*[
+        F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema
+    ])
 
 
 def _decoded(uri):
@@ -20,56 +23,92 @@ def _decoded(uri):
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def _plain_path(uri):
-    return F.regexp_replace(_decoded(uri), r"^file:(//)?", "")
-
+def _plain_path(path):
+    return F.regexp_replace(path, r"^file:(//)?", "")
 
-def csv_headers(spark: SparkSession, folder: str, name_glob: str) -> DataFrame:
-    """One row per readable, non-empty file: its path and its first line.
 
-    Only the first split of a file can hold its header; the first line is picked map-side.
-    """
-    first_split = (
+def _text_rows(spark: SparkSession, folder: str, name_glob: str, path_pattern: str | None) -> DataFrame:
+    """``value, path, at, row``: the lines of all files, with the offset of their split and their order in it."""
+    lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
         .option("ignoreCorruptFiles", True).text(folder)
         .select(
-            "value", _decoded(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("at"),
+            "value", _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("row"),
         )
-        .where("at = 0")
-        .withColumn("row", F.monotonically_increasing_id())
     )
-    header = F.regexp_replace(F.min_by("value", "row"), r"^\x{FEFF}|\s+$", "")
-    return first_split.groupBy("path").agg(header.alias("header")).where("header <> ''")
+    return lines.where(F.rlike("path", F.lit(path_pattern))) if path_pattern else lines
+
+
+def csv_headers(spark: SparkSession, folder: str, name_glob: str = "*.csv", path_pattern: str | None = None) -> DataFrame:
+    """One row per readable, non-empty file: its path, its first line and that line's row.
+
+    Only the first split of a file can hold its header; the first line is picked map-side.
+    """
+    first = _text_rows(spark, folder, name_glob, path_pattern).where("at = 0")
+    header = F.regexp_replace(F.col("first.value"), r"^\x{FEFF}|\s+$", "")
+    return (
+        first.groupBy("path").agg(F.min_by(F.struct("value", "row"), "row").alias("first"))
+        .select("path", header.alias("header"), F.col("first.row").alias("header_row")).where("header <> ''")
+    )
+
+
+def skipped_files(spark: SparkSession, folder: str, name_glob: str = "*.csv", path_pattern: str | None = None) -> DataFrame:
+    """``source_file`` of the files that a collection leaves out since no line of them can be read. Empty files hold
+    nothing to leave out and are not listed."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(folder)
+        .select(F.col("path"))
+    )
+    files = files.where(F.rlike("path", F.lit(path_pattern))) if path_pattern else files
+    read = csv_headers(spark, folder, name_glob, path_pattern).select(_plain_path(F.col("path")).alias("source_file"))
+    return files.select(_plain_path(F.col("path")).alias("source_file")).join(read, "source_file", "left_anti")
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """Text as the declared type; a whole number may be written with a fraction of zero. What doesn't convert is NULL."""
+    if isinstance(kind, T.IntegralType):
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(text.try_cast(kind), whole)
+    return text.try_cast(kind)
 
 
 def collect_csv(
-    spark: SparkSession, folder: str, name_glob: str = "*.csv", known: T.StructType | None = None
+    spark: SparkSession, folder: str, name_glob: str = "*.csv", known: T.StructType | None = None,
+    path_pattern: str | None = None,
 ) -> DataFrame:
     """Union of all CSV files below ``folder`` by column name, plus ``source_file``.
 
-    Files are read once per header layout, since one scan over mixed headers would misplace values.
-    Columns of ``known`` get their declared type, others are text. The driver holds one path per file, as
-    Spark's own file index does. Corrupt files are skipped; with no file at all the result is empty.
+    Every file has a header of its own: its first line is joined to its other lines by path, and a value's column is
+    the header's name at its place. So there is one scan of the lines whatever the number of layouts, and no list of
+    paths on the driver; it only learns the distinct column names, which are the schema. ``path_pattern`` is a regular
+    expression that the whole path must contain. Columns of ``known`` that occur get their declared type, others are
+    text. Values are one line each. With no file at all the result is empty. See ``skipped_files``.
     """
-    types = {f.name: f.dataType for f in known or []}
-    layouts: dict[str, list[str]] = defaultdict(list)
-    for row in csv_headers(spark, folder, name_glob).orderBy("path").toLocalIterator():
-        layouts[row.header].append(row.path)
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"{len(layouts)} different CSV headers below {folder}; expected at most {MAX_LAYOUTS}")
-    frames = []
-    for header, paths in layouts.items():
-        names = [name.strip().strip('"') for name in header.split(",")]
-        schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        frame = (
-            spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).csv(paths)
-        )
-        frames.append(frame.select("*", _plain_path(F.col("_metadata.file_path")).alias("source_file")))
-    if not frames:
+    headers = csv_headers(spark, folder, name_glob, path_pattern)
+    commas = F.length("header") - F.length(F.replace("header", F.lit(",")))
+    width = headers.agg(F.max(commas)).first()[0]
+    if width is None:
         empty = T.StructType([*(known or []), T.StructField("source_file", T.StringType())])
         return spark.createDataFrame([], empty)
-    return union_by_name(frames)
+    fields = [f"c{i}" for i in range(width + 1)]
+    shape = ", ".join(f"{c} STRING" for c in fields)
+
+    def cells(line: Column) -> Column:
+        parsed = F.from_csv(line, F.lit(shape), CSV)
+        return F.transform(F.array(parsed), lambda p: F.array(*[p[c] for c in fields]))[0]
+
+    headers = headers.withColumn("names", F.transform(cells(F.col("header")), F.trim)).drop("header")
+    found = {r[0] for r in headers.select(F.explode("names")).distinct().collect() if r[0]}
+    types = {f.name: f.dataType for f in known or []}
+    order = [*[n for n in types if n in found], *sorted(found - set(types))]
+    lines = _text_rows(spark, folder, name_glob, path_pattern).join(headers, "path")
+    lines = lines.where("row <> header_row AND trim(value) <> ''").select("path", "names", cells(F.rtrim("value")).alias("cells"))
+    value = lambda name: F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
+    return lines.select(
+        *[_typed(value(n), types.get(n, T.StringType())).alias(n) for n in order], _plain_path(F.col("path")).alias("source_file")
+    )
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, skip_empty: bool = False) -> bool:
@@ -79,5 +118,5 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, skip_e
     """
     if skip_empty and df.isEmpty():
         return False
-    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).options(**CSV).csv(path)
     return True

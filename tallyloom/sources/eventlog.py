@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Event names and the fields read from them.
 TASK_END = "SparkListenerTaskEnd"
 APP_START = "SparkListenerApplicationStart"
 APP_END = "SparkListenerApplicationEnd"
+APP_IN_PATH = r"((?:app|application|local)-?_?\d+[-_]\d+)"
 TASK_DDL = """
+    Event STRING,
     `Stage ID` INT, `Stage Attempt ID` INT,
     `Task Info` STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Finish Time`: BIGINT>,
     `Task Metrics` STRUCT<
@@ -20,16 +24,19 @@ APP_DDL = "Event STRING, `App ID` STRING, Timestamp BIGINT"
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Event lines of one or many logs, rolled folders and compressed files included."""
-    return spark.read.option("recursiveFileLookup", True).text(path)
+    """``log_file, app, value``: event lines of one or many logs, rolled folders and compressed files included.
+
+    ``app`` is the application id in the file's path, or else the file itself, so that rollups keep logs apart.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    file = F.col("_metadata.file_path")
+    app = F.nullif(F.regexp_extract(file, APP_IN_PATH, 1), F.lit(""))
+    return lines.select(file.alias("log_file"), F.coalesce(app, file).alias("app"), "value")
 
 
-def _is_event(*names: str):
-    # A line starts with the event name; the prefix test avoids parsing all other events.
-    test = F.lit(False)
-    for name in names:
-        test = test | F.startswith(F.col("value"), F.lit(f'{{"Event":"{name}"'))
-    return test
+def _mentions(*names: str) -> Column:
+    """Cheap test before a line is parsed: the name occurs anywhere. The parsed event decides."""
+    return reduce(Column.__or__, [F.contains(F.col("value"), F.lit(name)) for name in names])
 
 
 def task_table(lines: DataFrame) -> DataFrame:
@@ -39,7 +46,7 @@ def task_table(lines: DataFrame) -> DataFrame:
     metrics = "e.`Task Metrics`"
     zero = lambda name: F.coalesce(F.col(name), F.lit(0).cast("bigint"))
     return (
-        lines.where(_is_event(TASK_END)).select(*kept, event.alias("e"))
+        lines.where(_mentions(TASK_END)).select(*kept, event.alias("e")).where(F.col("e.Event") == TASK_END)
         .select(
             *kept,
             F.col("e.`Stage ID`").alias("stage_id"),
@@ -61,7 +68,7 @@ def app_durations(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     event = F.from_json("value", APP_DDL)
     at = lambda name: F.when(F.col("e.Event") == name, F.col("e.Timestamp"))
     return (
-        lines.where(_is_event(APP_START, APP_END)).select(*by, event.alias("e"))
-        .groupBy(*by)
+        lines.where(_mentions(APP_START, APP_END)).select(*by, event.alias("e"))
+        .where(F.col("e.Event").isin(APP_START, APP_END)).groupBy(*by)
         .agg(((F.max(at(APP_END)) - F.min(at(APP_START))) / 1000.0).alias("app_sec"))
     )

@@ -16,12 +16,22 @@ HEX_DIGITS, CONSONANTS = "0123456789abcdef", "bdfghjklmnprstvz"
 WORD_DIGITS, WORD_BYTES, HASH_DIGITS = 3, 7, 32
 
 
+def row_number() -> Column:
+    """An integer per row of any table."""
+    return F.monotonically_increasing_id()
+
+
+def constant_line(line: str = CONSTANT_LINE) -> Column:
+    """The same line for every row of any table."""
+    return F.lit(line)
+
+
 def integers(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
 
 def constant_lines(spark: SparkSession, n: int = DEFAULT_LINES, line: str = CONSTANT_LINE) -> DataFrame:
-    return spark.range(n).select(F.lit(line).alias("value"))
+    return spark.range(n).select(constant_line(line).alias("value"))
 
 
 def random_line(seed: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import parse
@@ -23,9 +24,15 @@ def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their position, so that log order survives any later shuffle.
 
     A split is read by one task from front to back, so the running id orders the rows of a split, and
-    file and offset order the splits.
+    file and offset order the splits. An absent file has no lines.
     """
-    return spark.read.text(path).select(
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value STRING, log_file STRING, log_offset BIGINT, log_row BIGINT")
+    return lines.select(
         "value",
         F.col("_metadata.file_path").alias("log_file"),
         F.col("_metadata.file_block_start").alias("log_offset"),

@@ -210,8 +210,11 @@ def test_conf_insert_and_upsert(spark):
 def test_preflight(spark):
     request = spark.createDataFrame([(1, 2, 1, 4), (2, 2, 3, 1), (3, 9, 1, 1)], "id INT, executors INT, executor_cores INT, executor_memory_gb INT")
     workers = spark.createDataFrame([(2, "4G"), (2, "4GB")], "cores INT, memory STRING")
-    verdicts = {r.id: (r.verdict, r.exact_fit) for r in resources.preflight(request, workers).collect()}
-    assert verdicts == {1: ("ok", False), 2: ("reject", False), 3: ("reject", False)}
+    verdicts = {r.id: (r.verdict, r.exact_fit, r.worker_fit) for r in resources.preflight(request, workers).collect()}
+    assert verdicts == {1: ("ok", False, False), 2: ("reject", False, False), 3: ("reject", False, False)}
+    halves = spark.createDataFrame([(1, 1, 1, 7), (2, 2, 2, 3)], "id INT, executors INT, executor_cores INT, executor_memory_gb INT")
+    fits = {r.id: (r.exact_fit, r.worker_fit) for r in resources.preflight(halves, workers).collect()}
+    assert fits == {1: (True, False), 2: (True, True)}  # no single worker holds seven gigabytes
     unknown = workers.unionByName(spark.createDataFrame([(1, "4096M")], "cores INT, memory STRING"))
     assert {r.verdict for r in resources.preflight(request, unknown).collect()} == {"unknown"}
     assert {r.verdict for r in resources.preflight(request, workers.where("cores > 9")).collect()} == {"skipped"}
@@ -292,8 +295,21 @@ def test_anneal_history_equals_a_loop(spark):
                 current = score
             heat *= 0.93
             assert got[s, i] == current
-    with pytest.raises(Exception, match="max_steps"):
-        models.anneal_history(frame, ["s"], max_steps=5).collect()
+    assert {(r.iter, r.score) for r in models.anneal_history(frame.where("s = 'x'").drop("s")).collect()} == {
+        (i, score) for (s, i), score in got.items() if s == "x"
+    }
+    assert models.anneal_history(frame.where("false"), ["s"]).isEmpty()
+
+
+def test_long_annealing_traces_take_linear_time(spark):
+    import time
+
+    long = spark.range(10_000).select(
+        F.col("id").cast("int").alias("iter"), F.rand(1).alias("score"), F.rand(2).alias("u")
+    )
+    start = time.perf_counter()
+    assert models.anneal_history(long).count() == 10_000
+    assert time.perf_counter() - start < 15  # a fraction of a second on a machine at rest
 
 
 def test_forest_searches_beat_the_median(spark):

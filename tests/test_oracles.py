@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from tallyloom.plans.catalog import REGISTRY
+from tallyloom.plans.oracles import ORACLES
 from tests.oracle_check import compare, connect
 
 ROWS_ONLY = {"input_size", "input_files", "rf_search", "rf_anneal", "rf_learning_curve"}
@@ -13,13 +15,23 @@ def connection(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, data, connection, name):
-    assert compare(entry.queries()[name](spark, data), connection, entry.oracle_sql()[name]) == []
+    assert compare(REGISTRY[name](spark, data), connection, ORACLES[name]) == []
 
 
 def test_only_file_and_forest_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(REGISTRY) - set(ORACLES) == ROWS_ONLY
+    assert set(REGISTRY) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_file_queries_list_what_is_there(spark, data):
+    import os
+
+    files = {n: os.path.getsize(os.path.join(data, n)) for n in os.listdir(data) if n.endswith(".parquet")}
+    listed = REGISTRY["input_files"](spark, data).collect()
+    assert [os.path.basename(r.source_file) for r in listed] == sorted(files)
+    assert sum(files.values()) in REGISTRY["input_size"](spark, data).first()
 
 
 def test_entry(spark):
@@ -36,12 +48,12 @@ SIZED = [
 @pytest.mark.parametrize("name", SIZED)
 def test_large_input_form_equals_sql(spark, data, connection, name, monkeypatch):
     """The forms chosen for inputs beyond one task, without broadcasts."""
-    monkeypatch.setattr("tallyloom.session.ONE_TASK_BYTES", -1)
+    monkeypatch.setattr("tallyloom.session.ONE_TASK_ROWS", -1)
     monkeypatch.setattr("tallyloom.session.SCAN_SPLIT_BYTES", 0)
     monkeypatch.setattr("tallyloom.session.BROADCAST_ROWS", 0)
-    monkeypatch.setattr("tallyloom.operators.ordered.BLOCK_ROWS", 100)
+    monkeypatch.setattr("tallyloom.operators.stats.SLOT_ROWS", 100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert compare(entry.queries()[name](spark, data), connection, entry.oracle_sql()[name]) == []
+        assert compare(REGISTRY[name](spark, data), connection, ORACLES[name]) == []
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

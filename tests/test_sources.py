@@ -49,6 +49,28 @@ def test_collect_csv_places_values_by_name(spark, tmp_path):
     assert rows(source_counts(table)) == [(4, 3)]
 
 
+def test_collect_csv_takes_numbers_as_pandas_writes_them(spark, tmp_path):
+    """Whole numbers with a fraction, reordered and quoted headers, doubled quotes, files of other tables, broken files."""
+    import gzip
+
+    for name, body in {
+        "agg/one.csv": b"n,median_sec,scale\n2.0,1.5,tiny\n,2.5,small\n",
+        "agg/two.csv": b'scale,"a, b",n,median_sec\nlarge,"say ""yes""",7,x\n',
+        "runs/three.csv": b"scale,run_idx\nhuge,1\n",
+        "agg/broken.csv.gz": gzip.compress(b"scale,n\n" + b"lost,1\n" * 10)[:12], "agg/empty.csv": b"",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body)
+    table = csvs.collect_csv(spark, str(tmp_path), "*.csv*", AGG, path_pattern="/agg/")
+    got = {r.scale: (r.n, r.median_sec, r["a, b"]) for r in table.collect()}
+    assert got == {"tiny": (2, 1.5, None), "small": (None, 2.5, None), "large": (7, None, 'say "yes"')}
+    left_out = csvs.skipped_files(spark, str(tmp_path), "*.csv*", path_pattern="/agg/")
+    assert sorted(r.source_file.rsplit("/", 1)[1] for r in left_out.collect()) == ["broken.csv.gz"]
+    swapped = csvs.read_csv(spark, str(tmp_path / "agg/one.csv"), AGG)
+    assert swapped.columns == AGG.fieldNames() and {r.median_sec for r in swapped.collect()} == {1.5, 2.5}
+
+
 def test_collect_csv_without_files(spark, tmp_path):
     table = csvs.collect_csv(spark, str(tmp_path), "*.csv", AGG)
     assert table.columns == [*AGG.fieldNames(), "source_file"] and table.isEmpty()
@@ -107,6 +129,16 @@ def test_generators(spark, tmp_path):
     assert generate.writer_plan(1, 8) == (4, 268435456) and generate.writer_plan(1, 1000) == (64, 134217728)
 
 
+def test_write_random_text_replaces_the_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generate, "GIB", 1 << 18)
+    for _ in range(2):
+        n = generate.write_random_text(spark, str(tmp_path / "text"), 2, 8)
+    lines = spark.read.text(str(tmp_path / "text"))
+    assert lines.count() == n > 500
+    size = sum(len(r.value) + 1 for r in lines.collect())
+    assert abs(size - 2 * (1 << 18)) < 0.1 * size
+
+
 def test_log_to_csv_and_collect(spark, tmp_path):
     text, log = str(tmp_path / "text"), str(tmp_path / "log")
     generate.constant_lines(spark, 50).write.text(text)
@@ -122,6 +154,15 @@ def test_log_to_csv_and_collect(spark, tmp_path):
     assert (row.n, row.is_default, row.scale) == (3, 1, "tiny") and "/out/agg/" in row.source_file
     flows.log_to_csv(spark, report, report, "/nowhere", str(tmp_path / "none/runs"), str(tmp_path / "none/agg"))
     assert (tmp_path / "none/runs").exists() and not (tmp_path / "none/agg").exists()
+    for name, paths, n in (
+        ("first", ("/absent/log", log), 3), ("second", (log, "/absent/report"), 3), ("neither", ("/absent/log", "/absent/report"), 0),
+    ):
+        flows.log_to_csv(spark, *paths[:1], paths[1], str(tmp_path / "meta"), str(tmp_path / name / "runs"), str(tmp_path / name / "agg"))
+        assert csvs.read_csv(spark, str(tmp_path / name / "runs"), RUNS).count() == (n if name == "second" else 0)
+    both = flows.collect_tables(spark, str(tmp_path / "out"), str(tmp_path / "both"), drop_duplicates=True, path_pattern="/agg/")
+    assert both.count() == 1
+    with pytest.raises(ValueError, match="below"):
+        flows.collect_tables(spark, str(tmp_path / "out"), str(tmp_path / "out/dataset"))
 
 
 def test_train_baselines(spark):
@@ -138,6 +179,21 @@ def test_train_baselines(spark):
     assert result.anneal_trace.count() == 2 and result.curve.count() == 6 and result.speedups.count() == 20
 
 
+def test_event_logs_keep_spaced_lines_and_applications_apart(spark, tmp_path):
+    lines = [
+        '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Stage Attempt ID":0,"Task Info":{"Launch Time":0,"Finish Time":5}}',
+        '{ "Event" : "SparkListenerTaskEnd", "Stage ID" : 1, "Stage Attempt ID" : 0, "Task Info" : {"Launch Time":0,"Finish Time":7}}',
+        '{"Stage ID":1,"Stage Attempt ID":0,"Task Info":{"Launch Time":0,"Finish Time":9},"Event":"SparkListenerTaskEnd"}',
+        '{"Event":"SparkListenerJobEnd","Note":"SparkListenerTaskEnd"}', "no json",
+    ]
+    for app in ("app-20240101000000-0001", "local-1700000000000-2"):
+        (tmp_path / app).write_text("\n".join(lines) + "\n")
+    tasks = task_table(read_event_log(spark, str(tmp_path)))
+    rolled = stage_rollup(tasks, ["app"]).collect()
+    assert [(r.tasks, r.p50_task_ms, r.max_task_ms) for r in rolled] == [(3, 7.0, 9)] * 2
+    assert len({r.app for r in rolled}) == 2
+
+
 def test_event_log_of_a_real_application(spark, tmp_path):
     """A small application in a process of its own writes the log that is read here."""
     import subprocess
