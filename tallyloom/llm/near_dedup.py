@@ -215,18 +215,37 @@ def _chunk_links(percent: int):
     return compare
 
 
+def _can_have_partner(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of large open buckets without those that provably have no partner there.
+
+    Of a set with n shingles, s occur in another set of these buckets. It shares at most min(s, m) with a set of m
+    shingles, and the similarity that this allows is greatest for the m nearest to s between the bucket's least and most.
+    """
+    rows = stored(large.select(ROW).distinct().join(sets, ROW), "large-sets")
+    owners = rows.select(ROW, F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count("*").alias("df"), F.min(ROW).alias(ROW)
+    )
+    alone = owners.where("df = 1").groupBy(ROW).agg(F.count("*").alias("alone"))
+    sizes = rows.select(ROW, F.size("shingles").alias("n")).join(alone, ROW, "left")
+    sizes = stored(sizes.select(ROW, "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")), "large-sizes")
+    other = F.least(F.greatest("s", "least"), "most")
+    return large.join(sizes, ROW).where(_similar(F.least(F.col("s"), other), F.col("n"), other, percent)).drop("n", "s")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Labels ``_row, comp`` of all distinct sets that have a link, one row per set (the smallest row of a set).
 
     1. Every member of a bucket is compared with the bucket's smallest row; the links give first components.
     2. Buckets that still hold several components are compared across them: small ones by a join, large ones in pairs
-       of chunks, so neither a bucket nor its pairs are ever in one task. Rows in the same component need no comparison.
+       of chunks, so neither a bucket nor its pairs are ever in one task. Rows in the same component need no comparison,
+       nor do rows of large buckets with so many shingles of their own that no set there can be similar enough.
     """
     reps = signed.where("n > 0").groupBy("set_id").agg(F.min(ROW).alias(ROW)).select(ROW)
     signed = signed.join(reps, ROW)
     keys = signed.select(ROW, "n", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min(ROW).alias("leader"), F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    members = stored(keys.select(ROW, "key").join(buckets.where("members > 1"), "key").select(ROW, "key", "leader", "members"), "buckets")
+    shared = keys.select(ROW, "key").join(buckets.where("members > 1"), "key")
+    members = stored(shared.select(ROW, "key", "leader", "members", "least", "most"), "buckets")
     signed = stored(signed.join(members.select(ROW).distinct(), ROW).select(ROW, "n", "signature"), "signed")
     sets = stored(full_sets(docs, size, signed), "sets")
     stars = members.where(f"leader <> {ROW}").select(F.col("leader").alias("a"), F.col(ROW).alias("b")).distinct()
@@ -234,17 +253,19 @@ def near_links(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> D
     labels = components(links)
 
     labelled = members.join(labels, ROW, "left").withColumn("comp", F.coalesce("comp", F.col(ROW)))
-    labelled = stored(labelled.select(ROW, "key", "leader", "members", "comp"), "labelled")
+    labelled = stored(labelled.select(ROW, "key", "leader", "members", "least", "most", "comp"), "labelled")
     several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     main = labelled.where(f"{ROW} = leader").select("key", F.col("comp").alias("main"))
-    open_ = stored(labelled.join(several, "key").join(main, "key").select(ROW, "key", "members", "comp", "main"), "open")
+    open_ = stored(labelled.join(several, "key").join(main, "key").select(ROW, "key", "members", "least", "most", "comp", "main"), "open")
     small = open_.where(f"members <= {SMALL_BUCKET}").select(ROW, "key", "comp")
     left, right = small.alias("l"), small.alias("r")
     crossing = (F.col("l.key") == F.col("r.key")) & (F.col(f"l.{ROW}") < F.col(f"r.{ROW}")) & (F.col("l.comp") != F.col("r.comp"))
     few = left.join(right, crossing).select(F.col(f"l.{ROW}").alias("a"), F.col(f"r.{ROW}").alias("b")).distinct()
     few = _verified(few, signed, sets, percent)
 
-    large = open_.where(f"members > {SMALL_BUCKET}").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int"))
+    large = _can_have_partner(open_.where(f"members > {SMALL_BUCKET}"), sets, percent)
+    counts = large.groupBy("key").agg(F.count("*").alias("left"), F.count_if(F.col("comp") != F.col("main")).alias("apart"))
+    large = large.join(counts.where("apart > 0"), "key").withColumn("chunks", F.ceil(F.col("left") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64(ROW), F.col("chunks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     large = large.withColumn("chunk", chunk)
