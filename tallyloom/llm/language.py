@@ -132,7 +132,7 @@ def _priors(seen: DataFrame, classes: int) -> DataFrame:
     )
     flat = F.array(*[F.lit((1 - NONE_PRIOR) / max(1, classes - 1))] * (classes - 1), F.lit(NONE_PRIOR))
     every = counted().select(share(F.col("n"), F.col("of"), flat).alias("p")).first()
-    all_rows = F.array(*[F.lit(float(p)) for p in every["p"]]) if every and every["p"] else flat
+    all_rows = F.array(*[F.lit(float(p)) for p in every["p"]]) if every and None not in every["p"] else flat
     groups = counted("suffix").select(F.col("suffix").alias("_suffix"), share(F.col("n"), F.col("of"), all_rows).alias("wider"))
     hosts = counted("host", "suffix").alias("h").join(groups, F.col("h.suffix").eqNullSafe(F.col("_suffix")))
     return hosts.select("host", "suffix", F.transform(share(F.col("n"), F.col("of"), F.col("wider")), lambda p: F.log(p)).alias("prior"))

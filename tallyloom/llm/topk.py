@@ -112,7 +112,8 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY)
 
     def dealt(rows, own, count, other, others):
         block = F.pmod(F.xxhash64(ROW), F.lit(count)).cast("int").alias(own)
-        return rows.select(block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), ROW, "id", "v")
+        each = rows.select(block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), ROW, "id", "v")
+        return each.toDF(*each.columns)  # columns of its own, since both sides come from one table
 
     found = (
         dealt(whole, "block", blocks, "query_block", query_blocks).groupBy("block", "query_block")
