@@ -234,7 +234,7 @@ class TreeModel:
         for word in {*words, *CONTENT_WORDS.split(), *OTHER}:
             n0, n1 = words.get(word, (0.0, 0.0))
             if word.startswith("#"):  # looks of a text are weak evidence: many kinds of parts share them
-                self.ratio[word] = 0.5 * max(-2.0, min(2.0, math.log(((n1 + 5) / of[1]) / ((n0 + 5) / of[0]))))
+                self.ratio[word] = 0.5 * max(-1.0, min(1.0, math.log(((n1 + 5) / of[1]) / ((n0 + 5) / of[0]))))
                 continue
             weight = min(1.0, 200.0 / (n0 + n1)) if n0 + n1 else 0.0
             n1 = n1 * weight + (WORD_COUNT if word in CONTENT_WORDS.split() else 0) + 1
