@@ -17,30 +17,35 @@ TEST_PERCENT = 25
 FRACTION_PERCENTS = [20, 36, 52, 68, 84, 100]
 
 
-class Dataset(NamedTuple):
+class Inputs(NamedTuple):
+    """Rows with a ``label``, and which of their columns a model may use."""
+
     frame: DataFrame
     numeric: list[str]
     categorical: list[str]
     target: str
 
 
-def build_dataset(runs: DataFrame) -> Dataset:
-    """Apply the tolerance rules to whatever columns ``runs`` has and drop rows without a target.
+# How a column of a run table is read, and what stands for it if the table lacks it.
+READ_AS = {"rdd_compress": flag_from_text}
+IF_ABSENT = {"is_default": 0}
+
+
+def regression_inputs(runs: DataFrame) -> Inputs:
+    """One projection of a run table: flags read from text, absent columns replaced, the target as ``label``.
 
-    Missing features are left out, a missing ``is_default`` is 0, and the target is the median if there is
-    one, else the single duration.
+    Features that the table lacks are not used. The target is the median if there is one, else the single duration;
+    rows without a target are left out.
     """
-    frame = runs
-    if "rdd_compress" in frame.columns:
-        frame = frame.withColumn("rdd_compress", flag_from_text(F.col("rdd_compress")))
-    if "is_default" not in frame.columns:
-        frame = frame.withColumn("is_default", F.lit(0))
-    features = [c for c in FEATURES if c in frame.columns]
-    target = next(c for c in TARGETS if c in frame.columns)
+    have = set(runs.columns)
+    target = [name for name in TARGETS if name in have][0]
+    columns = [READ_AS.get(name, lambda c: c)(F.col(name)).alias(name) for name in runs.columns]
+    columns += [F.lit(value).alias(name) for name, value in IF_ABSENT.items() if name not in have]
     label = F.col(target).cast("double")
-    frame = frame.where(F.col(target).isNotNull() & ~F.isnan(label)).withColumn("label", label)
-    categorical = [c for c in CATEGORICAL if c in features]
-    return Dataset(frame, [c for c in features if c not in categorical], categorical, target)
+    # The filter names the source column, so it reaches the scan.
+    rows = runs.where(F.col(target).isNotNull() & ~F.isnan(label)).select(*columns, label.alias("label"))
+    used = {kind: [n for n in FEATURES if n in have and (n in CATEGORICAL) == kind] for kind in (True, False)}
+    return Inputs(rows, used[False], used[True], target)
 
 
 def row_key(*columns: str, salt: str = "") -> Column:

@@ -230,7 +230,7 @@ def source_counts(spark, folder):
 
 @registered
 def dataset_build(spark, folder):
-    data = features.build_dataset(fixtures.tuning_rows(spark, folder))
+    data = features.regression_inputs(fixtures.tuning_rows(spark, folder))
     return data.frame.select("o_orderkey", *data.numeric, *data.categorical, "is_default", "label")
 
 

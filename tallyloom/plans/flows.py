@@ -79,9 +79,10 @@ def train_baselines(
     """Constant median, searched forest and annealed forest on a run table, with their test metrics.
 
     ``key`` names the columns that identify a row. The annealed search is scored on a validation part of the
-    train rows, never on the test rows. Speedups use the same target as the models.
+    train rows, never on the test rows. Speedups use the same target as the models; the base is the
+    default row that comes first in a collection's order, the one with the lowest target.
     """
-    data = features.build_dataset(runs)
+    data = features.regression_inputs(runs)
     rows = features.with_split(data.frame, key)
     encoded = features.fit_encoder(rows.where("part = 'train'"), data.numeric, data.categorical).transform(rows)
     encoded = encoded.select(*key, "part", "features", "label").persist()
@@ -104,4 +105,4 @@ def train_baselines(
         curve = models.learning_curve(train, test, key, searched.params, seed=seed)
     finally:
         encoded.unpersist()
-    return Baselines(scores, annealed.trace, curve, speedup.top_speedups(data.frame, data.target, list(key)))
+    return Baselines(scores, annealed.trace, curve, speedup.top_speedups(data.frame, data.target, [data.target, *key]))

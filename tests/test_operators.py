@@ -225,10 +225,10 @@ def test_dataset_rules(spark):
         [(1, "True", "lz4", 3.0), (2, None, None, None), (3, "no", "zstd", 1.0)],
         "executors INT, rdd_compress STRING, io_compression_codec STRING, duration_sec DOUBLE",
     )
-    data = features.build_dataset(frame)
+    data = features.regression_inputs(frame)
     assert (data.numeric, data.categorical, data.target) == (["executors", "rdd_compress"], ["io_compression_codec"], "duration_sec")
     assert rows(data.frame.select("executors", "rdd_compress", "is_default", "label")) == [(1, 1, 0, 3.0), (3, 0, 0, 1.0)]
-    both = features.build_dataset(frame.withColumn("median_sec", F.lit(2)))
+    both = features.regression_inputs(frame.withColumn("median_sec", F.lit(2)))
     assert both.target == "median_sec" and both.frame.count() == 3
 
 

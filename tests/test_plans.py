@@ -64,7 +64,7 @@ def test_large_numbering_shuffles_rows_once(spark, data):
 
 def test_filters_and_columns_reach_the_scan(spark, data):
     runs = spark.read.parquet(f"{data}/orders.parquet").withColumnRenamed("o_totalprice", "median_sec")
-    frame = features.build_dataset(runs).frame.select("label")
+    frame = features.regression_inputs(runs).frame.select("label")
     assert "PushedFilters: [IsNotNull(o_totalprice)]" in plan(frame)
     assert "ReadSchema: struct<o_totalprice:double>" in plan(frame)
 
