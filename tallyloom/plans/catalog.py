@@ -402,9 +402,11 @@ def anneal_replay(spark, folder):
     return models.anneal_history(fixtures.scored_draws(spark, folder), ["search_id"])
 
 
-# Forests are fitted on about so many train rows, picked by hash; draws, folds, steps and spaces are the full ones, and
-# scores are over all test rows.
-FIT_ROWS = 600
+# Forests are fitted on about so many train rows, picked by hash, and scored on all test rows. Draws, folds and steps of
+# the registered searches are the full ones; the forests are small, since one of hundreds of deep trees takes minutes.
+# The functions keep the full spaces as defaults.
+FIT_ROWS = 2_000
+SMALL_SPACE = {"trees": range(5, 11), "depths": range(3, 6)}
 
 
 def _encoded(spark, folder):
@@ -420,7 +422,7 @@ def _encoded(spark, folder):
 def rf_search(spark, folder):
     """Metrics of the searched forest next to those of the constant median."""
     train, test, raw_train, raw_test = _encoded(spark, folder)
-    found = models.random_search(train, fixtures.ROW_KEY)
+    found = models.random_search(train, fixtures.ROW_KEY, **SMALL_SPACE)
     forest = found.model.transform(test).select(F.lit("RandomSearch_RF").alias("model"), "label", "prediction")
     return metrics.error_metrics(forest.unionByName(models.constant_predictions(raw_train, raw_test)))
 
@@ -430,13 +432,13 @@ def rf_anneal(spark, folder):
     """Trace of an annealed search; it is scored on a validation part of the train rows."""
     train, _, _, _ = _encoded(spark, folder)
     valid = scalars.hash_bucket(features.row_key(*fixtures.ROW_KEY, salt="valid")) < 25
-    return models.annealed_search(train.where(~valid), train.where(valid)).trace
+    return models.annealed_search(train.where(~valid), train.where(valid), **SMALL_SPACE).trace
 
 
 @registered
 def rf_learning_curve(spark, folder):
     train, test, _, _ = _encoded(spark, folder)
-    params = {"numTrees": 240, "maxDepth": 12, "minInstancesPerNode": 4, "featureSubsetStrategy": "all"}
+    params = {"numTrees": 8, "maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}
     return models.learning_curve(train, test, fixtures.ROW_KEY, params)
 
 
