@@ -10,29 +10,84 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.common import ROW, bounded_batches, stored, with_rows
 
-# The context of a byte: the last byte as it is, the two before it folded to five bits (letter case and the split of
-# letters and signs fall together). So there are at most 2 ** 18 contexts, and a model row has 256 probabilities: 268 MB
-# at the very most, whatever the corpus. Each older byte extends the one context before it, which makes a tree.
-CONTEXT_BITS = 18
+# The context of a byte: the last byte as it is, the four before it folded to five bits (letter case and the split of
+# letters and signs fall together). Each older byte extends the one context before it, which makes a tree of depth 5.
+DEPTH = 5
 FOLD = 31
-DEPTH = 3
-EDGE = 255  # a byte that UTF-8 never has: stands before and after each text
+EDGE = b"\xff"  # a byte that UTF-8 never has: stands before and after each text
+
+# A context stays a node of its own while it holds a large enough share of the corpus, the share being the least that
+# leaves at most so many nodes; the rarer ones below a node are one node together. So the model has at most so many rows
+# of 256 half-precision logs, 34 MB, and four bytes for each of 32 steps from twice as many nodes, whatever the corpus.
+MOST_NODES = 1 << 16
 
 # Words with at least this share of all training tokens are sent to the workers: never more than 2 ** 20 words.
 COMMON = 2.0**-20
 
 COUNTED_WORDS = 300_000
 COUNTED_BYTES = 8 << 20
+COUNTED_CELLS = 2_000_000
 
 END = b" "  # the end token; no word holds a blank
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def cells(text: bytes) -> np.ndarray:
-    """For each byte of a text and its end: context * 256 + byte."""
-    padded = np.frombuffer(b"\xff\xff\xff" + text + b"\xff", np.uint8).astype(np.int32)
-    older = padded & FOLD
-    return (((padded[2:-1] << 10) | (older[1:-2] << 5) | older[:-3]) << 8) | padded[3:]
+    """For each byte of a text and its end: the context, newest byte first, and then the byte."""
+    padded = np.frombuffer(EDGE * DEPTH + text + EDGE, np.uint8).astype(np.int64)
+    n = len(text) + 1
+    key = padded[DEPTH - 1 : DEPTH - 1 + n].copy()
+    for back in range(2, DEPTH + 1):
+        key <<= 5
+        key |= padded[DEPTH - back : DEPTH - back + n] & FOLD
+    return (key << 8) | padded[DEPTH:]
+
+
+def _shift(depth: int) -> int:
+    """Bits of a cell below its context of this depth."""
+    return 8 + 5 * (DEPTH - depth)
+
+
+class ContextTree:
+    """Nodes by number, parents first; 0 is the root. ``first`` leads from the last byte to a node, ``step`` from a node
+    by each older byte; a node without contexts below leads to itself."""
+
+    def __init__(self, kept: dict[int, np.ndarray]):
+        """``kept``: the contexts of each depth that are nodes of their own, ascending."""
+        first = kept.get(1, np.empty(0, np.int64))
+        size = 1 + len(first) + 1
+        self.first = np.full(256, size - 1, np.int32)
+        self.first[first] = np.arange(1, size - 1)
+        parents, depths = [np.full(1, -1), np.zeros(size - 1, int)], [np.zeros(1, int), np.ones(size - 1, int)]
+        above, at = first, np.arange(1, size - 1)
+        steps = [np.repeat(np.arange(size, dtype=np.int32)[:, None], 32, 1)]
+        for depth in range(2, DEPTH + 1):
+            contexts = kept.get(depth, np.empty(0, np.int64))
+            up = at[np.searchsorted(above, contexts >> 5)] if len(contexts) else np.empty(0, int)
+            own = size + np.arange(len(contexts))
+            rest = size + len(contexts) + np.arange(len(at))  # under each node one for its rarer contexts
+            size += len(contexts) + len(at)
+            steps.append(np.repeat(np.arange(size - len(contexts) - len(at), size, dtype=np.int32)[:, None], 32, 1))
+            steps = [np.concatenate(steps)]
+            steps[0][at] = rest[:, None]
+            steps[0][up, contexts & FOLD] = own
+            parents.append(np.concatenate([up, at]))
+            depths.append(np.full(len(contexts) + len(at), depth))
+            above, at = contexts, own
+        self.step = steps[0]
+        self.parent, self.depth = np.concatenate(parents).astype(np.int32), np.concatenate(depths).astype(np.int32)
+        self.last = np.bincount(self.parent[1:], minlength=size) == 0  # nodes where a walk ends
+        self.top = np.arange(size, dtype=np.int32)  # the node of depth 1 above
+        for depth in range(2, DEPTH + 1):
+            level = self.depth == depth
+            self.top[level] = self.top[self.parent[level]]
+
+    def walk(self, cell: np.ndarray) -> np.ndarray:
+        """The node in which each cell's context ends."""
+        node = self.first[cell >> _shift(1)]
+        for depth in range(2, DEPTH + 1):
+            node = self.step[node, (cell >> _shift(depth)) & FOLD]
+        return node
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -67,84 +122,76 @@ def byte_logs(one: np.ndarray) -> np.ndarray:
     logs = np.zeros((len(one), 1))
     for level in range(8):
         p = one[:, (1 << level) - 1 : (2 << level) - 1]
-        logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], axis=2).reshape(len(one), -1)
+        logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], axis=2).reshape(len(one), 2 * p.shape[1])
     return logs
 
 
-class Nodes:
-    """The nodes of one depth: counts, and the weighted probability of everything below."""
-
-    def __init__(self, counts: np.ndarray, below: np.ndarray | None):
-        self.zeros, self.ones = bit_counts(counts)
-        self.kt = (self.ones + 0.5) / (self.zeros + self.ones + 1)
-        own = log_kt(self.zeros, self.ones)
-        self.log_weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
-        self.own_share = None if below is None else np.exp(own - np.log(2) - self.log_weighted)
-
-    def mix(self, deeper: np.ndarray | None, seen: np.ndarray | None) -> np.ndarray:
-        """Probability of a one: the own estimate, weighted against the deeper one where that has seen the decision."""
-        if deeper is None:
-            return self.kt
-        return np.where(seen, self.own_share * self.kt + (1 - self.own_share) * deeper, self.kt)
-
-
-def _sum_by(group: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, values.shape[1]))
-    np.add.at(out, group, values)
-    return out
-
-
-def subtree(cell: np.ndarray, n: np.ndarray):
-    """The tree below one last byte, from counts of ``cell`` (its low 18 bits): nodes by depth, deepest first."""
-    contexts, row = np.unique((cell >> 8) & 1023, return_inverse=True)
-    counts = np.zeros((len(contexts), 256))
-    counts[row, cell & 255] = n
-    deep = Nodes(counts, None)
-    parents, up = np.unique(contexts >> 5, return_inverse=True)
-    middle_counts = _sum_by(up, len(parents), counts)
-    middle = Nodes(middle_counts, _sum_by(up, len(parents), deep.log_weighted))
-    top = Nodes(counts.sum(0, keepdims=True), middle.log_weighted.sum(0, keepdims=True))
-    return contexts, deep, parents, up, middle, top
-
-
-def _root_part(rows: pd.DataFrame) -> pd.DataFrame:
-    cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-    *_, top = subtree(cell, n)
-    symbols = np.bincount(cell & 255, n, 256)
-    return pd.DataFrame({"symbols": [symbols.tolist()], "weighted": [top.log_weighted[0].tolist()]})
-
-
-def _model_rows(root_one: np.ndarray, root_share: np.ndarray):
-    """Rows of the model below one last byte: ``context`` with its depth, and 256 float32 logs."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        cell, n = rows["cell"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        last = int(cell[0]) >> 18
-        contexts, deep, parents, up, middle, top = subtree(cell, n)
-        seen = lambda nodes: nodes.zeros + nodes.ones > 0
-
-        def to_root(top_one):
-            return np.where(seen(top), root_share * root_one + (1 - root_share) * top_one, root_one)
-
-        deep_one = middle_at(middle, up, deep.mix(None, None), seen(deep))
-        parts = [
-            (3, contexts | (last << 10), to_root(take(top, deep_one, seen(middle)[up]))),
-            (2, parents | (last << 5), to_root(take(top, middle.kt, seen(middle)))),
-            (1, np.array([last]), to_root(top.kt)),
-        ]
-        return pd.DataFrame(
-            [(d, int(c), r.tobytes()) for d, cs, one in parts for c, r in zip(cs, byte_logs(one).astype(np.float32))],
-            columns=["depth", "context", "logs"],
-        )
-
-    def middle_at(middle, up, deeper, seen):
-        share, kt = middle.own_share[up], middle.kt[up]
-        return np.where(seen, share * kt + (1 - share) * deeper, kt)
-
-    def take(top, deeper, seen):
-        return np.where(seen, top.own_share * top.kt + (1 - top.own_share) * deeper, top.kt)
+def subtree(tree: ContextTree, top: int, node: np.ndarray, symbol: np.ndarray, n: np.ndarray, root=None):
+    """Works out the part of the tree below one last byte from the counts in the nodes where walks end.
 
-    return build
+    Without ``root``: the byte counts and the log weighted probability of each of the 255 decisions at the top.
+    With ``root`` (its own probability of a one and its share, per decision): the nodes where walks end, and the log10
+    probabilities of the 256 bytes in each. Decisions are independent, so they are worked out 32 at a time.
+    """
+    members = [np.flatnonzero((tree.top == top) & (tree.depth == d)) for d in range(1, DEPTH + 1)]
+    place = {}
+    counts = []
+    for ids in members:
+        place.update(zip(ids.tolist(), range(len(ids))))
+        counts.append(np.zeros((len(ids), 256)))
+    up = [np.array([place[p] for p in tree.parent[ids].tolist()], int) if d else None for d, ids in enumerate(members)]
+    level = tree.depth[node] - 1
+    for d in range(DEPTH - 1, -1, -1):
+        here = level == d
+        np.add.at(counts[d], (np.array([place[x] for x in node[here].tolist()], int), symbol[here]), n[here])
+        if d:
+            np.add.at(counts[d - 1], up[d], counts[d])
+    bits = [bit_counts(c) for c in counts]
+    weighted, one = [], [np.empty((len(ids), 255)) for ids in members]
+    for at in range(0, 255, 32):
+        zeros, ones = [z[:, at : at + 32] for z, _ in bits], [o[:, at : at + 32] for _, o in bits]
+        seen = [z + o > 0 for z, o in zip(zeros, ones)]
+        kt = [(o + 0.5) / (z + o + 1) for z, o in zip(zeros, ones)]
+        share, below = [None] * DEPTH, None
+        for d in range(DEPTH - 1, -1, -1):
+            mixed = log_kt(zeros[d], ones[d])
+            if below is not None:
+                parts = np.zeros_like(mixed)
+                np.add.at(parts, up[d + 1], below)
+                inner = ~tree.last[members[d]]
+                own = mixed
+                mixed = np.where(inner[:, None], np.logaddexp(own, parts) - np.log(2), own)
+                share[d] = np.exp(own - np.log(2) - mixed)
+            below = mixed
+        weighted.append(below[0])
+        if root is not None:
+            root_one, root_share = root[0][at : at + 32], root[1][at : at + 32]
+            for d in range(DEPTH):
+                p, row = kt[d], np.arange(len(members[d]))
+                for e in range(d - 1, -1, -1):
+                    deeper, row = seen[e + 1][row], up[e + 1][row]
+                    p = np.where(deeper, share[e][row] * kt[e][row] + (1 - share[e][row]) * p, kt[e][row])
+                one[d][:, at : at + 32] = np.where(seen[0][row], root_share * root_one + (1 - root_share) * p, root_one)
+    if root is None:
+        return counts[0].sum(0), np.concatenate(weighted)
+    ends = [tree.last[ids] for ids in members]
+    return np.concatenate([i[e] for i, e in zip(members, ends)]), np.concatenate([byte_logs(o[e]) for o, e in zip(one, ends)])
+
+
+def _top_part(tree: ContextTree):
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        symbols, weighted = subtree(tree, int(rows["top"].iloc[0]), *(rows[c].to_numpy(np.int64) for c in ("node", "symbol", "n")))
+        return pd.DataFrame({"symbols": [symbols.tolist()], "weighted": [weighted.tolist()]})
+
+    return work
+
+
+def _rows_below(tree: ContextTree, root):
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, logs = subtree(tree, int(rows["top"].iloc[0]), *(rows[c].to_numpy(np.int64) for c in ("node", "symbol", "n")), root)
+        return pd.DataFrame({"node": ids, "logs": [r.tobytes() for r in logs.astype(np.float16)]})
+
+    return work
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,7 +205,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        words, parts, held = Counter(), [], 0
+        words, parts, held, summed = Counter(), [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
             for text in batch.column(0):
                 low = (text.as_py() or b"").translate(LOWER)
@@ -167,70 +214,106 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                 parts.append(cells(low))
                 held += len(low)
                 if held >= COUNTED_BYTES:
-                    yield from cell_rows(parts)
-                    parts, held = [], 0
+                    summed, parts, held = added(summed, parts), [], 0
+                    if len(summed[0]) >= COUNTED_CELLS:
+                        yield from cell_rows(*summed)
+                        summed = summed[0][:0], summed[1][:0]
                 if len(words) >= COUNTED_WORDS:
                     yield from word_rows(words)
                     words = Counter()
-        yield from cell_rows(parts)
+        yield from cell_rows(*added(summed, parts))
         yield from word_rows(words)
 
-    def cell_rows(parts):
-        if parts:
-            cell, n = np.unique(np.concatenate(parts), return_counts=True)
+    def added(summed, parts):
+        if not parts:
+            return summed
+        cell, n = np.unique(np.concatenate(parts), return_counts=True)
+        every, place = np.unique(np.concatenate([summed[0], cell]), return_inverse=True)
+        return every, np.bincount(place, np.concatenate([summed[1], n]), len(every)).astype(np.int64)
+
+    def cell_rows(cell, n):
+        for at in range(0, len(cell), 100_000):
+            some, m = cell[at : at + 100_000], len(cell[at : at + 100_000])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.nulls(len(cell), pa.binary()), pa.array(n, pa.int64())], names=["cell", "word", "n"]
+                [pa.array(some), pa.nulls(m, pa.binary()), pa.array(n[at : at + 100_000])], names=["cell", "word", "n"]
             )
 
     def word_rows(words):
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(words), pa.int32()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())],
+            [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())],
             names=["cell", "word", "n"],
         )
 
-    partial = bounded_batches(texts).mapInArrow(count, "cell int, word binary, n long")
+    partial = bounded_batches(texts).mapInArrow(count, "cell long, word binary, n long")
     return partial.groupBy("cell", "word").agg(F.sum("n").alias("n"))
 
 
-class ContextModel:
-    """Rows of log10 probabilities and, for each of the 2 ** 18 contexts, the row of its deepest part that was seen."""
+def kept_contexts(cells_: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """The contexts of each depth that hold at least 2 ** k of the corpus's bytes, for the least k that leaves ``most``."""
+    each = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.shiftright("cell", _shift(d)).alias("context")) for d in range(1, DEPTH + 1)
+    ])).alias("c")
+    sums = stored(cells_.select(each, "n").groupBy("c.depth", "c.context").agg(F.sum("n").alias("n")), "contexts")
+    sizes = sums.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
+    least, left = 0, most
+    for size in sizes:
+        left -= size["count"]
+        if left < 0:
+            least = size["k"] + 1
+            break
+    kept = sums.where(F.col("n") >= 2.0**least).select("depth", "context").toPandas()  # at most ``most`` rows
+    return {d: np.sort(kept["context"][kept["depth"] == d].to_numpy(np.int64)) for d in range(1, DEPTH + 1)}
+
 
-    def __init__(self, counts: DataFrame):
-        cells_ = counts.where("cell IS NOT NULL").select("cell", "n", F.shiftright("cell", 18).alias("last"))
-        parts = cells_.groupBy("last").applyInPandas(_root_part, "symbols array<double>, weighted array<double>").toPandas()
+class ContextModel:
+    """The tree, and for each node where a walk ends a row of log10 probabilities of the next byte."""
+
+    def __init__(self, counts: DataFrame, most: int = MOST_NODES):
+        cells_ = counts.where("cell IS NOT NULL").select("cell", "n")
+        self.tree = tree = ContextTree(kept_contexts(cells_, most))
+        top = tree.top
+
+        def end(batches):
+            for batch in batches:
+                cell = batch.column(0).to_numpy(zero_copy_only=False)
+                node = tree.walk(cell)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(top[node], pa.int32()), pa.array(node, pa.int32()), pa.array(cell & 255, pa.int64()), batch.column(1)],
+                    names=["top", "node", "symbol", "n"],
+                )
+
+        ends = cells_.mapInArrow(end, "top int, node int, symbol long, n long")
+        ends = stored(ends.groupBy("top", "node", "symbol").agg(F.sum("n").alias("n")), "context-counts")
+        parts = ends.groupBy("top").applyInPandas(_top_part(tree), "symbols array<double>, weighted array<double>").toPandas()
         symbols = np.sum(parts["symbols"].tolist(), axis=0) if len(parts) else np.zeros(256)
         below = np.sum(parts["weighted"].tolist(), axis=0) if len(parts) else np.zeros(255)
-        root = Nodes(symbols[None, :], below[None, :])
-        rows = cells_.groupBy("last").applyInPandas(
-            _model_rows(root.kt, root.own_share), "depth int, context int, logs binary"
-        ).toPandas()
-        self.logs = np.zeros((len(rows) + 1, 256), np.float32)
-        self.logs[0] = byte_logs(root.kt)[0]
+        zeros, ones = (x[0] for x in bit_counts(symbols[None, :]))
+        own = log_kt(zeros, ones)
+        share = np.exp(own - np.logaddexp(own, below))
+        one = (ones + 0.5) / (zeros + ones + 1)
+        rows = ends.groupBy("top").applyInPandas(_rows_below(tree, (one, share)), "node int, logs binary").toPandas()
+        self.logs = np.zeros((len(rows) + 1, 256), np.float16)
+        self.logs[0] = byte_logs(one[None, :])[0]
         for i, logs in enumerate(rows["logs"]):
-            self.logs[i + 1] = np.frombuffer(logs, np.float32)
-        self.row = np.zeros(1 << CONTEXT_BITS, np.int32)
-        depth, context = rows["depth"].to_numpy(np.int64), rows["context"].to_numpy(np.int64)
-        for d in range(1, DEPTH + 1):
-            width = 1 << 5 * (DEPTH - d)
-            at = np.flatnonzero(depth == d)
-            self.row.reshape(-1, width)[context[at]] = (at + 1)[:, None]
+            self.logs[i + 1] = np.frombuffer(logs, np.float16)
+        self.row = np.zeros(len(tree.parent), np.int32)  # the root's row where no text ever went
+        self.row[rows["node"].to_numpy(np.int64)] = np.arange(1, len(rows) + 1)
+
+    def of_cells(self, cell: np.ndarray) -> float:
+        return float(self.logs[self.row[self.tree.walk(cell)], cell & 255].sum(dtype=np.float64))
 
     def score(self, text: bytes) -> float:
         """log10 of the probability of a lower-cased text and its end."""
+        part = 1 << 18
+        if len(text) < part:
+            return self.of_cells(cells(text))
         total = 0.0
-        for at in range(0, len(text) + 1, 1 << 20):
-            part = self._cells_from(text, at)
-            total += float(self.logs[self.row[part >> 8], part & 255].sum(dtype=np.float64))
+        for at in range(0, len(text) + 1, part):
+            back = min(at, DEPTH)
+            whole = cells(text[at - back : at + part])
+            total += self.of_cells(whole[back : None if at + part > len(text) else -1])
         return total
 
-    @staticmethod
-    def _cells_from(text: bytes, at: int) -> np.ndarray:
-        stop = at + (1 << 20)
-        if at == 0 and len(text) < stop:
-            return cells(text)
-        whole = cells(text[max(0, at - 3) : stop])
-        return whole[min(3, at) : None if stop > len(text) else -1]
-
 
 class _Known(dict):
     def __missing__(self, word):
@@ -243,9 +326,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Both models learn from all rows whose crc32 of the id, as text, leaves no remainder 1 by 5 (a null id counts as an
     empty text) and score every row. Null texts count as empty: one end token. An empty table gives no rows.
 
-    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 3: each byte is
+    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 5: each byte is
     eight binary decisions, each with a Krichevsky-Trofimov estimate per depth, mixed with the weights of context-tree
-    weighting. Where a context has never met a decision, the deepest one that has is used. ``bits_per_byte`` is the code
+    weighting. Where a context has never met a decision, the deepest one that has is used. Contexts too rare for a node of
+    their own are counted together in one node beside the others. ``bits_per_byte`` is the code
     length over the bytes and the end. ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over words and end.
 
     Counts of common words (a share of 2 ** -20 of all tokens or more) go to the workers; other words of a document are

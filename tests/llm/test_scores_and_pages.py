@@ -27,7 +27,7 @@ class PlainTree:
         self.counts = {}
         for text in texts:
             for path, symbol in self.steps(text):
-                for d in range(4):
+                for d in range(6):
                     for node, bit in self.bits(symbol):
                         self.counts.setdefault((path[:d], node), [0, 0])[bit] += 1
         self.children = {}
@@ -38,9 +38,9 @@ class PlainTree:
 
     @staticmethod
     def steps(text):
-        data = [255] * 3 + list(text) + [255]
-        for i in range(3, len(data)):
-            yield (data[i - 1], data[i - 2] & 31, data[i - 3] & 31), data[i]
+        data = [255] * 5 + list(text) + [255]
+        for i in range(5, len(data)):
+            yield (data[i - 1], *(data[i - k] & 31 for k in (2, 3, 4, 5))), data[i]
 
     @staticmethod
     def bits(symbol):
@@ -58,7 +58,7 @@ class PlainTree:
     def log_weighted(self, key):
         if key not in self.weighted:
             own = self.log_kt(key)
-            if len(key[0]) < 3:
+            if len(key[0]) < 5:
                 below = sum(self.log_weighted(c) for c in self.children[key])
                 own = np.logaddexp(own, below) - math.log(2)
             self.weighted[key] = own
@@ -70,7 +70,7 @@ class PlainTree:
             return 0.5
         a, b = self.counts[key]
         kt = (b + 0.5) / (a + b + 1)
-        if d == 3 or (path[: d + 1], node) not in self.counts:
+        if d == 5 or (path[: d + 1], node) not in self.counts:
             return kt
         share = math.exp(self.log_kt(key) - math.log(2) - self.log_weighted(key))
         return share * kt + (1 - share) * self.one(path, node, d + 1)
@@ -94,8 +94,10 @@ def test_scores_match_plain_models(spark, tmp_path):
     for doc_id, text, *_ in rows:
         words = [*lower(text).split(), None]
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words)
-        want[doc_id, is_held_out(doc_id), len(words), sum(counts[w] > 0 for w in words), round(base, 6), round(tree.score(lower(text).encode()), 4)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in got) == want
+        want[doc_id, is_held_out(doc_id), len(words), sum(counts[w] > 0 for w in words), round(base, 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    scores = {(r[0], r[1] or ""): tree.score(lower(r[1]).encode()) for r in rows}
+    assert sorted(r.score for r in got) == pytest.approx(sorted(scores[r[0], r[1] or ""] for r in rows), rel=2e-3, abs=0.01)
     assert {r.train_tokens for r in got} == {total}
 
 
@@ -108,10 +110,22 @@ def test_scores_of_an_empty_table_and_a_model_without_texts(spark, tmp_path):
 
 def test_probabilities_of_all_bytes_add_up(spark):
     counts = ctw.count_corpus(spark.createDataFrame([(bytearray(b"abracadabra"),), (bytearray("né".encode()),)], "text binary"))
-    model = ctw.ContextModel(counts)
-    assert np.allclose((10.0 ** model.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+    for most in (1 << 16, 40, 8, 0):  # down to a single node for all contexts
+        model = ctw.ContextModel(counts, most)
+        assert len(model.tree.parent) <= 2 * most + 2
+        assert np.allclose((10.0 ** model.logs.astype(float)).sum(axis=1), 1, atol=5e-3)
     long = b"abra cadabra " * 100_000
-    assert model.score(long) == pytest.approx(float(model.logs[model.row[ctw.cells(long) >> 8], ctw.cells(long) & 255].sum(dtype=float)), rel=1e-6)
+    assert model.score(long) == pytest.approx(model.of_cells(ctw.cells(long)), rel=1e-6)
+
+
+def test_scores_beat_byte_frequencies_on_held_out_texts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r.doc_id: lower(r.text).encode() + b"\xff" for r in docs.collect()}
+    seen = np.bincount(np.frombuffer(b"".join(t for i, t in texts.items() if not is_held_out(i)), np.uint8), minlength=256)
+    logs = np.log10((seen + 0.5) / (seen.sum() + 128))
+    rows = [r for r in ctw.score_documents(docs).collect() if r.held_out]
+    plain = sum(logs[np.frombuffer(texts[r.doc_id], np.uint8)].sum() for r in rows)
+    assert sum(r.score for r in rows) > 0.65 * plain
 
 
 # URLs
