@@ -10,4 +10,19 @@ LLM_ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op7_threshold_top": """
+        WITH c AS (
+            SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings
+        ),
+        q AS (SELECT vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM c),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.v * b.v) AS BIGINT) AS score
+            FROM q a JOIN q b ON a.d = b.d AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id
+        ),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
