@@ -141,7 +141,8 @@ def grouped_summary(
     """
     by = list(by)
     small = fits_one_task(df) if one_task is None else one_task
-    df = df.withColumn(value, measured(F.col(value)))
+    if df.schema[value].dataType.typeName() in ("double", "float"):  # other types have no such values and stay as they are
+        df = df.withColumn(value, measured(F.col(value)))
     if small:
         found = F.percentile(value, list(percents.values())).alias("_p")
         summary = df.groupBy(*by).agg(*aggregates, found)
