@@ -27,16 +27,18 @@ NONE = "none"
 NONE_PRIOR = 0.01
 LEAST_POSTERIOR = 0.5
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+# A-Z in lower case, the controls of white space as blanks.
+PLAIN = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
 def trigram_slots(text: bytes) -> np.ndarray:
-    """Slots of the byte trigrams of a text between two blanks, A-Z in lower case; a text without letters has none."""
-    low = text.translate(LOWER)
-    b = np.frombuffer(b" " + low + b" ", np.uint8).astype(np.uint32)
-    if not ((b[1:-1] >= 97) & (b[1:-1] <= 122) | (b[1:-1] >= 128)).any():
-        return np.empty(0, np.uint32)
-    key = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    """Slots of the byte trigrams of letters and blanks, A-Z in lower case, white space as blank, the text between two
+    blanks. Numbers, signs and what touches them say nothing about the language; a text without letters has none."""
+    b = np.frombuffer(b" " + text.translate(PLAIN) + b" ", np.uint8).astype(np.uint32)
+    letter = (b >= 97) & (b <= 122) | (b >= 128)
+    fits = letter | (b == 32)
+    fits = fits[:-2] & fits[1:-1] & fits[2:] & (letter[:-2] | letter[1:-1] | letter[2:])
+    key = ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:])[fits]
     return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
 
 
