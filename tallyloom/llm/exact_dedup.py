@@ -76,7 +76,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     groups = named.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", ROW)).alias("keep"), F.count("*").alias("group_size")
     )
-    return named.join(groups, ["level", "name"]).select(
+    # Stored, so that the join deals both sides anew and a group with very many rows can be split.
+    return named.join(stored(groups, "groups"), ["level", "name"]).select(
         ROW, "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col(f"keep.{ROW}") == F.col(ROW)).alias("kept"), "text_sha256",
     )
