@@ -298,7 +298,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     placed = rows.where("n > 0").join(named, "set_id").select(ROW, "doc_id", "n", "comp")
     placed = stored(placed.unionByName(rows.where("n = 0").select(ROW, "doc_id", "n", F.col(ROW).alias("comp"))), "placed")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    firsts = placed.groupBy("comp").agg(F.min(first).alias("first"))
+    # Stored, so that the join deals both sides anew and a component with very many rows can be split.
+    firsts = stored(placed.groupBy("comp").agg(F.min(first).alias("first")), "firsts")
     stays = F.col(ROW) == F.col(f"first.{ROW}")
     return placed.join(firsts, "comp").select(
         ROW, "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"),
