@@ -101,6 +101,19 @@ def test_scores_match_plain_models(spark, tmp_path):
     assert {r.train_tokens for r in got} == {total}
 
 
+def test_every_context_is_a_node_however_many_and_rare(spark, tmp_path, monkeypatch):
+    letters = np.random.default_rng(3).integers(97, 123, 40_000).astype(np.uint8).tobytes().decode()
+    rows = [(i, letters[at : at + 1000], None, None, None) for i, at in enumerate(range(0, 40_000, 1000))]
+    tree = PlainTree([text.encode() for i, text, *_ in rows if not is_held_out(i)])
+    assert len({path for path, _ in tree.counts}) > 1 << 16
+    want = [tree.score(text.encode()) for _, text, *_ in rows]
+    docs = table_of(spark, tmp_path, rows)
+    for sent in (ctw.SENT_CELLS, 1000, 0):  # cells sent to the workers, most of them joined, all of them joined
+        monkeypatch.setattr(ctw, "SENT_CELLS", sent)
+        got = {r.doc_id: r.score for r in ctw.score_documents(docs).collect()}
+        assert [got[i] for i in range(40)] == pytest.approx(want, rel=1e-6)
+
+
 def test_scores_of_an_empty_table_and_a_model_without_texts(spark, tmp_path):
     assert ctw.score_documents(table_of(spark, tmp_path / "a", [], parts=1)).count() == 0
     held = next(i for i in range(100) if is_held_out(i))
