@@ -194,7 +194,11 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, fit_rows: int =
 def page_evidence(pages: DataFrame) -> DataFrame:
     """``doc_id, markup, host`` of pages whose address ends in a document's number, like ``/en/17.html``."""
     number = F.regexp_extract("url", r"/(\d{1,18})(?:[./?#][^/]*)?$", 1)
-    markup = F.regexp_extract(F.substring("html", 1, 1000), r"(?i)<html[^>]*?\slang=[\"']?([a-z]+)", 1)
+    # The first html tag outside comments, wherever it is. Possessive loops need no stack, however long the page.
+    value = r"""=\s*+"[^"]*+"|=\s*+'[^']*+'"""
+    bare = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")
+    tag = F.regexp_extract(bare, rf"(?i)<html(?=[\s/>])((?:{value}|[^>])*+)", 1)
+    markup = F.regexp_extract(tag, rf"(?is)\A(?:(?!\slang\s*=)(?:{value}|.))*+\slang\s*=\s*[\"']?([a-z]+)", 1)
     host = F.regexp_extract("url", r"://([^/?#:]+)", 1)
     return pages.select(
         number.try_cast("long").alias("doc_id"),

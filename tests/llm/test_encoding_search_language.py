@@ -159,6 +159,17 @@ def test_page_evidence_reads_number_markup_and_host(spark):
     )
 
 
+def test_page_evidence_reads_the_html_tag_wherever_it_is(spark):
+    long, many = "x" * 50_000, " ".join(f'data-a{i}="{i} > 0"' for i in range(20_000))
+    htmls = {
+        1: f"<!-- {long} <html lang='fr'> -->\n<html lang='de'>", 2: "\n" * 5_000 + "<html lang=es>", 3: f'<html {many} LANG = "it">',
+        4: "<html class='a'><body><p>&lt;</p><html lang=fr>", 5: '<html title="x lang=fr" lang="nl">', 6: f"<html><!-- {long}", 7: "<html lang='pt-BR'>",
+    }
+    pages = spark.createDataFrame([(i, f"http://a.de/{i}", h) for i, h in htmls.items()], "page_id long, url string, html string")
+    got = {r.doc_id: r.markup for r in language.page_evidence(pages).collect()}
+    assert got == {1: "de", 2: "es", 3: "it", 4: None, 5: "nl", 6: None, 7: "pt"}
+
+
 def test_language_query_agrees_with_held_out_labels(spark, data):
     rows = op5_language(spark, data).collect()
     clear = [r for r in rows if r.accepted]
