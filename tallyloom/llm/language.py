@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,12 +13,10 @@ from tallyloom.llm.common import ROW, bounded_batches, packed, stored, with_rows
 # Byte trigrams are counted in so many slots per language: the model has a fixed size.
 SLOTS = 1 << 15
 
-# The text model is fitted on about so many labelled rows, picked by hash; everything else uses all rows.
+# The text model is fitted on all labelled rows of a language, or about so many, picked by hash, of one that has more;
+# everything else uses all rows.
 FIT_ROWS = 20_000
 
-# Languages with more labelled rows come first; further ones are not told apart.
-MOST_LANGUAGES = 200
-
 # Neighbouring trigrams overlap, so their logs count by a third.
 TEMPER = 1 / 3
 
@@ -43,30 +43,39 @@ def trigram_slots(text: bytes) -> np.ndarray:
 
 
 def fit_text_model(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of the slots, one row per language; fitted on rows that declare a language."""
+    """Languages and log probabilities of the slots, one row per language; fitted on rows that declare a language.
+
+    ``fit_rows`` bounds the rows per language, so none loses rows to others. Languages whose texts have no trigram are
+    no class. The model has 128 KB per language.
+    """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    total = sum(r["count"] for r in sizes)
-    share = max(1, min(1 << 20, (1 << 20) * fit_rows // max(1, total)))
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) < share)
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    shares = {lang: max(1, (1 << 20) * fit_rows // n) for lang, n in sizes.items() if n > fit_rows}
+    picked = labelled
+    if shares:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")), F.lit(1 << 20))
+        # The row number tells rows apart whose ids are null or repeated.
+        picked = with_rows(labelled).where(F.pmod(F.xxhash64("doc_id", "lang", ROW), F.lit(1 << 20)) < share)
+    languages = sorted(sizes)
     place = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches):
-        sums = np.zeros((len(place), SLOTS), np.int64)
+        sums = defaultdict(lambda: np.zeros(SLOTS, np.int64))
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if lang in place:
-                    sums[place[lang]] += np.bincount(trigram_slots(text.as_py()), minlength=SLOTS)
-        lang, slot = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.int32()), pa.array(slot, pa.int32()), pa.array(sums[lang, slot])], names=["lang", "slot", "n"]
-        )
+                sums[place[lang]] += np.bincount(trigram_slots(text.as_py()), minlength=SLOTS)
+        for lang, n in sums.items():
+            slot = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(slot), lang), pa.int32()), pa.array(slot, pa.int32()), pa.array(n[slot])], names=["lang", "slot", "n"]
+            )
 
     picked = bounded_batches(picked.select("lang", F.col("text").cast("binary").alias("text")))
     sums = picked.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    met, at = np.unique(sums["lang"].to_numpy(int), return_inverse=True)
+    languages = [languages[i] for i in met]
     counts = np.full((len(languages), SLOTS), 0.5)
-    counts[sums["lang"].to_numpy(int), sums["slot"].to_numpy(int)] += sums["n"].to_numpy(float)
+    counts[at, sums["slot"].to_numpy(int)] += sums["n"].to_numpy(float)
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

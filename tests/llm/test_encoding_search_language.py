@@ -149,6 +149,18 @@ def test_language_follows_text_then_declarations_and_hosts(spark, tmp_path):
     assert language.identify(docs.withColumn("lang", docs["lang"].substr(9, 1).cast("string")).where("doc_id = 2001")).count() == 1
 
 
+def test_rare_and_many_languages_are_fitted_on_their_own_rows(spark):
+    rows = [(i, "the common text of many rows", "aa") for i in range(3000)] + [(5000 + i, "zyxw wvut zyxw", "zz") for i in range(3)]
+    rows += [(6000 + i, f"rarest {chr(0x4E00 + i)} text", f"l{i:03}") for i in range(250)] + [(7000, "123", "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, logs = language.fit_text_model(docs, 20)
+    assert languages == sorted({r[2] for r in rows} - {"no"}) and logs.shape == (252, language.SLOTS)
+    assert (logs.max(axis=1) - logs.min(axis=1) > 0.5).all()  # none is flat
+    slots = np.bincount(language.trigram_slots(b"zyxw wvut zyxw") , minlength=language.SLOTS)
+    want = np.log((0.5 + 3 * slots) / (0.5 + 3 * slots).sum())
+    assert np.allclose(logs[languages.index("zz")], want, atol=1e-4)
+
+
 def test_page_evidence_reads_number_markup_and_host(spark):
     pages = spark.createDataFrame(
         [(1, "https://A.example.org/en/17.html?x=1", "<!DOCTYPE html><html lang=\"EN\">"), (2, "http://b.de/de/18/", None), (3, None, "<html>"), (4, "http://b.de/x", "")],
