@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import collect, conf, features, metrics, models, ordered, resources, runs, speedup, stats, wordcount
+from tallyloom.plans import catalog
 from tallyloom.schemas import AGG, RUNS
 from tallyloom.sources import logs, meta
 from tallyloom.sources.conf import parse_conf
@@ -327,6 +328,22 @@ def test_forest_searches_beat_the_median(spark):
     assert [r.fraction for r in curve.collect()] == [0.5, 1.0]
 
 
+def test_a_bound_on_searched_rows_leaves_baseline_encoder_and_curve_alone(spark, data, monkeypatch):
+    monkeypatch.setattr(catalog, "FIT_ROWS", 50)
+    searched, curves = [], []
+    search, curve = models.random_search, models.learning_curve
+    monkeypatch.setattr(models, "random_search", lambda train, key, **space: searched.append(train.count()) or search(train, key, draws=1, folds=2, **space))
+    monkeypatch.setattr(models, "learning_curve", lambda train, *more: curves.append(train.count()) or curve(train, *more, percents=[100]))
+    _, train, _ = catalog._split_rows(spark, data)
+    found = {r["model"]: r.asDict() for r in catalog.rf_search(spark, data).collect()}
+    for row in catalog.dummy_metrics(spark, data).collect():
+        if row["model"] in found:
+            for name, value in row.asDict().items():
+                assert found[row["model"]][name] == (pytest.approx(value, abs=1e-3) if isinstance(value, float) else value)
+    assert len(found) > 1 and 0 < searched[0] < 200 < train.count()
+    assert catalog.rf_learning_curve(spark, data).count() == 1 and curves == [train.count()]
+
+
 AWKWARD = {
     "missing": [1.0, 2.0, 4.0, float("nan"), None],
     "infinite": [1.0, float("inf"), float("-inf"), 5.0, None],
