@@ -50,18 +50,18 @@ BELOW = {"element": (0.7, 0.25), "named": (0.7, 0.03), "text": (0.98, 0.03)}
 # Elements that any part of a page may use; their names say little beyond the pages they were counted on.
 ANYWHERE = frozenset("html body div section p ul ol li dl dt dd table tbody thead tr td th blockquote center figure pre span".split())
 
-# A quoted value that holds a > ends within so many characters, or the quote is taken for a stray one.
-QUOTE_REACH = 10_000
-
 NAME_AT = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+NAMING = frozenset(("class", "id", "role", "itemprop"))
+TAG_STEP = re.compile(r"""=\s*+(?:(["'])|[^\s"'>][^\s>]*+)?|>""")  # the start of a value, an unquoted one whole, or the end
 NAME = re.compile(r"[a-z]+")
 
 
 def element_features(tag: str, attributes: str) -> tuple[str, ...]:
     names = [tag]
     for m in ATTRIBUTE.finditer(attributes):
-        names += NAME.findall((m[2] or m[3] or m[4] or "").lower())
+        if m[1].lower() in NAMING:
+            names += NAME.findall((m[2] or m[3] or m[4] or "").lower())
     return tuple(dict.fromkeys(names))
 
 
@@ -73,6 +73,7 @@ class Page:
         self.stack, self.blocks, self.open = [("html", 0)], [0], Counter(["html"])
         self.pieces, self.linked, self.plain = [], 0, 0
         self.unclosed: set[str] = set()
+        self.spent: set[str] = set()  # quote signs that the rest of the page doesn't have
         at, n = 0, len(source)
         while at < n:
             start = source.find("<", at)
@@ -95,20 +96,32 @@ class Page:
         if not name:
             return end + 1
         tag = name[1].lower()
+        end = self._tag_end(source, name.end())
+        if end < 0:
+            return len(source)
         if source[start + 1] == "/":
             self._close(tag)
             return end + 1
-        for quote in "\"'":
-            if source.count(quote, start, end) % 2:
-                closing = source.find(quote, end, start + QUOTE_REACH)
-                further = source.find(">", closing, start + QUOTE_REACH) if closing >= 0 else -1
-                end = further if further >= 0 else end
-                break
         if tag in RAW:
             return self._skip(source, tag, end + 1)
         self._open(tag, source[name.end() : end])
         return end + 1
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the > of a tag is; quoted values, however many and long, are passed whole. A quote that is never closed
+        is taken for a stray one."""
+        while step := TAG_STEP.search(source, at):
+            at, quote = step.end(), step[1]
+            if step[0] == ">":
+                return step.start()
+            if quote and quote not in self.spent:
+                closing = source.find(quote, at)
+                if closing < 0:
+                    self.spent.add(quote)
+                else:
+                    at = closing + 1
+        return -1
+
     def _skip(self, source: str, tag: str, at: int) -> int:
         """Past an element whose content is no text; an unclosed one hides only itself, but for scripts and styles."""
         end = None

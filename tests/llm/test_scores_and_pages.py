@@ -251,6 +251,24 @@ def test_held_out_pages(spark, data):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+def test_quoted_values_hide_their_markup_however_long_and_many():
+    import time
+
+    hidden = "<p>not <b>shown</b></p> " * 2_000
+    pages = [
+        f"<article><p data-json=\"{hidden}\">seen</p></article>", f"<article><p>seen <img title='{hidden}' alt=\"c > d\"></p></article>",
+        "<article><p title=\"a > b\" alt='c > d' id = 'e > f'>seen</p></article>", "<article><p title=it's data-x='>'>seen</p></article>",
+        "<article><p title=\"stray>seen</p></article>", "<article><p data-x=\" class='ad' > \">seen</p></article>",
+    ]
+    for source in pages:
+        page = html_text.Page(source)
+        assert list(page.texts.values()) == ["seen"] and ("article",) in page.features and not any("ad" in f for f in page.features)
+    start = time.perf_counter()
+    for source in ("<a b=\">" * 1 + "<a b='>" * 50_000, "<a b=\"'>" * 50_001, "<a b=' c=\">" * 50_001, "<p " + "x" * 500_000 + ">", "<p " + "= " * 200_000 + ">"):
+        html_text.Page(source)
+    assert time.perf_counter() - start < 15
+
+
 def test_broken_markup_takes_linear_time():
     import time
 
