@@ -457,11 +457,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Both models learn from all rows whose crc32 of the id, as text, leaves no remainder 1 by 5 (a null id counts as an
     empty text) and score every row. Null texts count as empty: one end token. An empty table gives no rows.
 
-    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 5: each byte is
-    eight binary decisions, each with a Krichevsky-Trofimov estimate per depth, mixed with the weights of context-tree
-    weighting. Where a context has never met a decision, the deepest one that has is used. Every context is a node of its
-    own, however rare. ``bits_per_byte`` is the code length over the bytes and the end. ``base_score`` sums
-    log10((c + 0.5) / (N + 0.5 (V + 1))) over words and end.
+    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 5, whose older
+    four bytes are cut to five bits: each byte is eight binary decisions, each with a Krichevsky-Trofimov estimate per
+    depth, mixed with the weights of context-tree weighting. Where a context has never met a decision, the deepest one
+    that has is used. Every context is a node of its own, however rare. ``bits_per_byte`` is the code length over the
+    bytes and the end. ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over words and end.
 
     Counts of common words (a share of 2 ** -20 of all tokens or more) and logs of the most frequent cells (at most
     2 ** 20) go to the workers; the other words and cells of a document are joined with theirs by a shuffle, so no
