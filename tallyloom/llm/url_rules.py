@@ -18,9 +18,6 @@ BAD = "label:bad"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.6
 
-# Rules are mined on about so many labelled pages, picked by hash.
-FIT_ROWS = 1_000_000
-
 
 def _after_scheme(url: Column) -> Column:
     at = F.locate("://", url)
@@ -56,15 +53,11 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     ))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``tokens, rarest, confidence, support`` of the rules ``tokens -> bad`` from ``tokens, bad``.
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``tokens, rarest, confidence, support`` of the rules ``tokens -> bad`` from all rows of ``tokens, bad``.
 
     ``rarest`` is the token of a rule that the fewest labelled rows have: the key of the inverted index.
     """
-    total = labelled.count()
-    share = max(1, min(1 << 20, (1 << 20) * fit_rows // max(1, total)))
-    labelled = labelled.where(F.pmod(F.xxhash64("tokens", ROW), F.lit(1 << 20)) < share)
     baskets = stored(labelled.select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
     ).where(F.size("items") > 0), "baskets")

@@ -20,6 +20,15 @@ def is_held_out(doc_id):
     return crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
+def test_rules_are_mined_from_all_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    host = F.when(F.col("id") % 100 == 0, "host:bad").otherwise(F.concat(F.lit("host:"), F.col("id") % 10))
+    labelled = spark.range(1_200_000).select(F.col("id").alias("_row"), F.array(host).alias("tokens"), (F.col("id") % 100 == 0).alias("bad"))
+    rules = url_rules.mine_rules(labelled).collect()
+    assert [(r.tokens, r.rarest, r.confidence, r.support) for r in rules] == [(["host:bad"], "host:bad", 1.0, 0.01)]
+
+
 class PlainTree:
     """Context-tree weighting with dictionaries, straight from the definition."""
 
