@@ -7,7 +7,10 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, ctw, exact_dedup, html_text, language, mixing, near_dedup, sharding, topk, url_rules
+from tallyloom.llm import (
+    bpe, ctw, exact_dedup, fill_middle, html_text, language, mixing, near_dedup, secrets, sharding, topk, url_rules,
+    vector_codes,
+)
 from tallyloom.llm.common import table
 
 LLM_REGISTRY = {}
@@ -78,3 +81,31 @@ def op7_threshold_top(spark, folder):
 @registered
 def op4_tree_model_text(spark, folder):
     return html_text.extract_text(table(spark, folder, "pages"))
+
+
+@registered
+def op11_fill_middle(spark, folder):
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@registered
+def op12_secret_scan(spark, folder):
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    count = lambda kind: F.size(secrets.of_kinds(F.col("spans"), [kind])).cast("long")
+    base = secrets.listed(secrets.of_kinds(F.col("spans"), secrets.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@registered
+def op13_vector_codes(spark, folder):
+    coded = vector_codes.vector_codes(table(spark, folder, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", "codebooks_sha256")
