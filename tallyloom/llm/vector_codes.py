@@ -188,7 +188,7 @@ def next_books(blocks: DataFrame, books: np.ndarray) -> np.ndarray:
     places = added.select("part", "entry", "n", F.posexplode("sums").alias("place", "total"))
     totals = places.groupBy("part", "entry", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     moved = books.copy()
-    for r in totals.toLocalIterator():  # at most one row per number of the codebooks
+    for r in totals.collect():  # at most one row per number of the codebooks
         moved[r.part, r.entry, r.place] = r.total // r.n
     return moved
 
@@ -226,7 +226,7 @@ def fit_codebooks(
     books = np.ascontiguousarray(books.reshape(len(first), parts, -1).transpose(1, 0, 2))
     low, high = np.zeros(width, np.int64), np.zeros(width, np.int64)
     places = kept.select(F.posexplode("v").alias("place", "c")).groupBy("place").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    for r in places.toLocalIterator():  # one row per component
+    for r in places.collect():  # one row per component
         low[r.place], high[r.place] = min(0, r.low), max(0, r.high)
     blocks = block_table(kept, width, low, high, parts, block)
     for _ in range(rounds):
