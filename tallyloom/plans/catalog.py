@@ -402,11 +402,8 @@ def anneal_replay(spark, folder):
     return models.anneal_history(fixtures.scored_draws(spark, folder), ["search_id"])
 
 
-# Searched forests are fitted on about so many train rows, picked by hash, and scored on all test rows; encoder, constants
-# and learning curve use all train rows. Draws, folds and steps of
-# the registered searches are the full ones; the forests are small, since one of hundreds of deep trees takes minutes.
-# The functions keep the full spaces as defaults.
-FIT_ROWS = 2_000
+# The registered searches make all draws, folds and steps over all train rows, with small forests: one of hundreds of
+# deep trees takes minutes. The functions keep the full spaces as defaults.
 SMALL_SPACE = {"trees": range(5, 11), "depths": range(3, 6)}
 
 
@@ -417,16 +414,11 @@ def _encoded(spark, folder):
     return model.transform(train).select(needed), model.transform(test).select(needed), train, test
 
 
-def _fit_rows(train):
-    share = max(1, (1 << 20) * FIT_ROWS // max(1, train.count()))
-    return train.where(F.pmod(F.xxhash64(F.lit("fit"), *fixtures.ROW_KEY), F.lit(1 << 20)) < share)
-
-
 @registered
 def rf_search(spark, folder):
     """Metrics of the searched forest next to those of the constant median."""
     train, test, raw_train, raw_test = _encoded(spark, folder)
-    found = models.random_search(_fit_rows(train), fixtures.ROW_KEY, **SMALL_SPACE)
+    found = models.random_search(train, fixtures.ROW_KEY, **SMALL_SPACE)
     forest = found.model.transform(test).select(F.lit("RandomSearch_RF").alias("model"), "label", "prediction")
     return metrics.error_metrics(forest.unionByName(models.constant_predictions(raw_train, raw_test)))
 
@@ -434,9 +426,9 @@ def rf_search(spark, folder):
 @registered
 def rf_anneal(spark, folder):
     """Trace of an annealed search; it is scored on a validation part of the train rows."""
-    train = _fit_rows(_encoded(spark, folder)[0])
-    valid = scalars.hash_bucket(features.row_key(*fixtures.ROW_KEY, salt="valid")) < 25
-    return models.annealed_search(train.where(~valid), train.where(valid), **SMALL_SPACE).trace
+    train = _encoded(spark, folder)[0]
+    held_out = scalars.hash_bucket(features.row_key(*fixtures.ROW_KEY, salt="valid")) < 25
+    return models.annealed_search(train, held_out, fixtures.ROW_KEY, **SMALL_SPACE).trace
 
 
 @registered

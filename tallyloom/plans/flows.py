@@ -8,6 +8,7 @@ from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyloom.functions import scalars
 from tallyloom.operators import features, metrics, models, speedup
 from tallyloom.operators.collect import collect_dataset
 from tallyloom.operators.runs import aggregate_rows, enriched_runs
@@ -89,10 +90,8 @@ def train_baselines(
     try:
         train, test = (encoded.where(F.col("part") == part) for part in ("train", "test"))
         searched = models.random_search(train, key, draws, folds, seed, **space)
-        valid = features.with_split(train.drop("part"), [*key, "label"], valid_percent)
-        annealed = models.annealed_search(
-            valid.where("part = 'train'"), valid.where("part = 'test'"), steps, seed, **space
-        )
+        held_out = scalars.hash_bucket(features.row_key(*key, "label")) < valid_percent
+        annealed = models.annealed_search(train, held_out, key, steps, seed, **space)
         predicted = lambda found, name: found.model.transform(test).select(F.lit(name).alias("model"), "label", "prediction")
         predictions = (
             models.constant_predictions(train, test)
