@@ -22,13 +22,13 @@ from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.session import scratch_path
+from tallyloom.session import stored
 
 # Functions that run in Python workers travel by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BINS = 32
-EDGE_ACCURACY = 10_000
+EDGE_ACCURACY = 1_000
 
 # Labels become integers of at most so many bits, so that sums are exact in whatever order tasks end.
 LABEL_BITS = 28
@@ -140,27 +140,28 @@ def _usable(df: DataFrame) -> DataFrame:
 def bin_rows(df: DataFrame, key: Sequence[str], row_class: Column, classes: int, like: Binned | None = None) -> Binned:
     """Rows with a label as bins, stored. Edges and label scale are those of ``like``, else quantiles of these rows.
 
-    Quantiles are exact up to a ten-thousandth of the rows. The table has a byte per feature.
+    Quantiles are exact up to a thousandth of the rows. The table has a byte per feature.
     """
     rows = _usable(df).select(
         F.xxhash64(*key).alias("draw"), row_class.cast("int").alias("class"), F.col("label").cast("double").alias("label"),
         vector_to_array("features").alias("x"),
     )
     if like is None:
-        head = rows.select(F.size("x").alias("width")).first()
-        if head is None:
-            raise ValueError("no training rows")
-        at = [F.get("x", F.lit(f)) for f in range(head.width)]
+        # The label and all features in one aggregation; what is no number counts for no edge.
+        values = rows.select(F.posexplode(F.concat(F.array("label"), "x")).alias("place", "v"))
+        number = F.when(~F.isnan("v"), F.col("v"))
         ranks = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-        quantiles = [F.percentile_approx(F.when(~F.isnan(x), x), ranks, EDGE_ACCURACY).alias(f"q{f}") for f, x in enumerate(at)]
-        label = F.col("label")
-        found = rows.agg(
-            F.count("*").alias("n"), F.avg(label).alias("mean"), F.max(label).alias("high"), F.min(label).alias("low"), *quantiles
-        ).first()
-        edges = [np.unique(np.array(found[f"q{f}"] or [], float)) for f in range(head.width)]
-        reach = max(found.high - found.mean, found.mean - found.low) or 1.0
-        bits = min(LABEL_BITS, 58 - found.n.bit_length())
-        like = Binned(rows, edges, found.mean, reach / (1 << bits), classes)
+        found = values.groupBy("place").agg(
+            F.count("*").alias("n"), F.avg(number).alias("mean"), F.max(number).alias("high"), F.min(number).alias("low"),
+            F.percentile_approx(number, ranks, EDGE_ACCURACY).alias("edges"),
+        ).orderBy("place").collect()  # one row per feature
+        if not found:
+            raise ValueError("no training rows")
+        label = found[0]
+        edges = [np.unique(np.array(r.edges or [], float)) for r in found[1:]]
+        reach = max(label.high - label.mean, label.mean - label.low) or 1.0
+        bits = min(LABEL_BITS, 58 - label.n.bit_length())
+        like = Binned(rows, edges, label.mean, reach / (1 << bits), classes)
     edges, center, unit, width = like.edges, like.center, like.unit, len(like.edges)
 
     def cut(batches):
@@ -173,10 +174,8 @@ def bin_rows(df: DataFrame, key: Sequence[str], row_class: Column, classes: int,
             binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(bins)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(y), binary], names=["draw", "class", "y", "bins"])
 
-    path = scratch_path(df.sparkSession, "binned")
-    made = rows.mapInArrow(cut, "draw long, class int, y long, bins binary")
-    made.write.parquet(path)
-    return Binned(df.sparkSession.read.schema(made.schema).parquet(path), edges, center, unit, classes)
+    made = stored(rows.mapInArrow(cut, "draw long, class int, y long, bins binary"), "binned")
+    return Binned(made, edges, center, unit, classes)
 
 
 def _gathered(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom import session
 from tallyloom.functions.scalars import round3
-from tallyloom.session import cut_lineage, fits_one_task
+from tallyloom.session import cut_lineage, fits_one_task, settled
 
 # The reported percentiles.
 PERCENTS = {"p50_sec": 0.50, "p90_sec": 0.90, "p99_sec": 0.99}
@@ -62,7 +62,9 @@ def exact_percentiles(
     """
     names = list(percents)
     data = df.select(*by, measured(F.col(value)).alias("_v")).where("_v IS NOT NULL")
-    if fits_one_task(df) if one_task is None else one_task:
+    if one_task is None:
+        data = settled(data)
+    if fits_one_task(data, session.PERCENTILE_ROWS) if one_task is None else one_task:
         found = F.percentile("_v", [float(p) for p in percents.values()]).alias("_p")
         return data.groupBy(*by).agg(found).select(
             *by, *[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(names)]
@@ -140,7 +142,9 @@ def grouped_summary(
     ``value`` is cleaned first, so the aggregates see NULL where it is not finite, in both forms.
     """
     by = list(by)
-    small = fits_one_task(df) if one_task is None else one_task
+    if one_task is None:
+        df = settled(df)
+    small = fits_one_task(df, session.PERCENTILE_ROWS) if one_task is None else one_task
     if df.schema[value].dataType.typeName() in ("double", "float"):  # other types have no such values and stay as they are
         df = df.withColumn(value, measured(F.col(value)))
     if small:

@@ -14,7 +14,7 @@ from tallyloom.operators import collect, conf, eventlog, features, metrics, mode
 from tallyloom.operators import speedup, stats, wordcount
 from tallyloom.plans import fixtures
 from tallyloom.schemas import AGG, AGG_META, METRICS
-from tallyloom.session import scratch_path
+from tallyloom.session import scratch_path, stored
 from tallyloom.sources import csvs, eventlog as event_logs, files, generate, logs, meta as metas
 from tallyloom.sources.conf import parse_conf
 from tallyloom.sources.tables import balanced_table, table
@@ -408,19 +408,20 @@ SMALL_SPACE = {"trees": range(5, 11), "depths": range(3, 6)}
 
 
 def _encoded(spark, folder):
-    _, train, test = _split_rows(spark, folder)
-    model = features.fit_encoder(train, ["l_extendedprice", "l_discount", "l_tax", "l_quantity"], ["l_returnflag"])
-    needed = [*fixtures.ROW_KEY, "features", "label"]
-    return model.transform(train).select(needed), model.transform(test).select(needed), train, test
+    """Encoded train and test rows; rows, split and vectors are stored, as encoder, constants and forests read them several times."""
+    rows = stored(_split_rows(spark, folder)[0], "regression")
+    model = features.fit_encoder(rows.where("part = 'train'"), ["l_extendedprice", "l_discount", "l_tax", "l_quantity"], ["l_returnflag"])
+    encoded = stored(model.transform(rows).select(*fixtures.ROW_KEY, "part", "features", "label"), "encoded")
+    return encoded.where("part = 'train'"), encoded.where("part = 'test'")
 
 
 @registered
 def rf_search(spark, folder):
     """Metrics of the searched forest next to those of the constant median."""
-    train, test, raw_train, raw_test = _encoded(spark, folder)
+    train, test = _encoded(spark, folder)
     found = models.random_search(train, fixtures.ROW_KEY, **SMALL_SPACE)
     forest = found.model.transform(test).select(F.lit("RandomSearch_RF").alias("model"), "label", "prediction")
-    return metrics.error_metrics(forest.unionByName(models.constant_predictions(raw_train, raw_test)))
+    return metrics.error_metrics(forest.unionByName(models.constant_predictions(train, test)))
 
 
 @registered
@@ -433,7 +434,7 @@ def rf_anneal(spark, folder):
 
 @registered
 def rf_learning_curve(spark, folder):
-    train, test, _, _ = _encoded(spark, folder)
+    train, test = _encoded(spark, folder)
     params = {"numTrees": 8, "maxDepth": 5, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"}
     return models.learning_curve(train, test, fixtures.ROW_KEY, params)
 

@@ -13,6 +13,9 @@ BROADCAST_ROWS = 200_000
 # Up to so many rows one task can sort or hold a whole group, even if all rows are in it.
 ONE_TASK_ROWS = 200_000
 
+# Up to so many rows the built-in percentile holds a group's values in one task (under 100 bytes each).
+PERCENTILE_ROWS = 2_000_000
+
 # Size of a scan split.
 SCAN_SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -67,16 +70,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, later scans read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size bound Catalyst derives from the input files, without running a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame) -> bool:
+def fits_one_task(df: DataFrame, rows: int | None = None) -> bool:
     """Counts rows, of which it stops reading at the limit; file sizes say little about rows behind a compression."""
-    if ONE_TASK_ROWS < 0:
+    limit = ONE_TASK_ROWS if rows is None else rows
+    if limit < 0:
         return False
-    return df.select(F.lit(1)).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, stored first if they are more than scanned, filtered and projected, so that reading twice costs no second parse."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut_lineage(df) if any(node in plan for node in ("Generate ", "Join ", "Aggregate ", "Window ")) else df
 
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:

@@ -49,6 +49,7 @@ SIZED = [
 def test_large_input_form_equals_sql(spark, data, connection, name, monkeypatch):
     """The forms chosen for inputs beyond one task, without broadcasts."""
     monkeypatch.setattr("tallyloom.session.ONE_TASK_ROWS", -1)
+    monkeypatch.setattr("tallyloom.session.PERCENTILE_ROWS", -1)
     monkeypatch.setattr("tallyloom.session.SCAN_SPLIT_BYTES", 0)
     monkeypatch.setattr("tallyloom.session.BROADCAST_ROWS", 0)
     monkeypatch.setattr("tallyloom.operators.stats.SLOT_ROWS", 100)
