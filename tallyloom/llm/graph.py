@@ -1,4 +1,4 @@
-"""Connected components over links, by smallest label with pointer jumping."""
+"""Connected components over links, by smallest label with contraction."""
 
 from __future__ import annotations
 
@@ -10,19 +10,27 @@ from tallyloom.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """``a, b`` links to ``_row, comp``: for each row that has a link the smallest row it can reach.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so the rounds grow with
-    the logarithm of the longest chain. Rounds read stored tables; nothing of the graph reaches the driver but a count.
+    Each round every row takes the smallest of itself and its neighbours, then what that one took, and the links are
+    renamed to what their ends took. A link that a row took its label over becomes one between that label and the label's
+    own, so nothing comes apart; links within a label and repeated ones go. So links shrink from round to round and the rounds
+    grow with the logarithm of the longest chain. Tables are stored; nothing of the graph reaches the driver but a count.
     """
-    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "_row"), "labels")
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    edges, taken = stored(ordered.distinct(), "links"), []
     while True:
-        ends = labels.select(F.col("_row").alias("b"), "comp")
-        near = edges.join(ends, "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "_row")
-        step = labels.join(near, "_row").select("_row", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        roots = labels.select(F.col("_row").alias("comp"), F.col("comp").alias("root"))
-        nearer = step.join(roots, "comp").select("_row", F.least("comp", "root").alias("comp"), "old")
-        nearer = stored(nearer, "labels")
-        changed = nearer.where("comp < old").limit(1).count()
-        labels = nearer.select("_row", "comp")
-        if not changed:
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "nearest")
+        then = first.select(F.col("a").alias("to"), F.col("to").alias("comp"))
+        labels = stored(first.join(then, "to").select(F.col("a").alias("_row"), "comp"), "labels")
+        taken.append(labels)
+        ends = lambda k: labels.select(F.col("_row").alias(k), F.col("comp").alias(f"{k}_comp"))
+        renamed = edges.join(ends("a"), "a").join(ends("b"), "b").where("a_comp <> b_comp")
+        ordered = renamed.select(F.least("a_comp", "b_comp").alias("a"), F.greatest("a_comp", "b_comp").alias("b"))
+        edges = stored(ordered.distinct(), "links")
+        if edges.isEmpty():
+            break
+    labels = taken.pop()
+    while taken:
+        later = labels.select(F.col("_row").alias("comp"), F.col("comp").alias("last"))
+        labels = stored(taken.pop().join(later, "comp", "left").select("_row", F.coalesce("last", "comp").alias("comp")), "labels")
+    return labels

@@ -23,8 +23,9 @@ COORDINATES = BANDS * ROWS
 # Two texts with similarity 0.8 agree in fewer coordinates with probability 1e-7.
 LEAST_AGREEMENT = 39
 
-# Members of a bucket that are compared within one Python call; smaller buckets are compared by a join.
-CHUNK = 256
+# Members of a bucket, and shingles of theirs, that are compared within one Python call; smaller buckets go into a join.
+CHUNK = 512
+CHUNK_SHINGLES = 1 << 20
 SMALL_BUCKET = 16
 
 # Bits of the filter that tells which texts need their full sets; beyond that many texts it only filters less.
@@ -185,11 +186,31 @@ def _verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int
     return both.where(_similar(shared, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
+class _Forest:
+    """Union-find over component names."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[x] = y
+        return x != y
+
+
 def _chunk_links(percent: int):
-    """Links between two chunks of a bucket: for each row and foreign component at most one, on full sets."""
+    """Links between the components of two chunks of a bucket, on full sets: a spanning forest of those that exist.
+
+    Components are named by a row of theirs, so a link between names is one between rows.
+    """
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, forest = [], _Forest()
         if len(left) and len(right):
             lefts = [np.asarray(x, np.int64) for x in left["shingles"]]
             rights = [np.asarray(x, np.int64) for x in right["shingles"]]
@@ -198,8 +219,8 @@ def _chunk_links(percent: int):
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
             sizes = np.array([len(x) for x in rights])
-            rows, comps = right[ROW].to_numpy(), right["comp"].to_numpy()
-            for x, row, comp in zip(lefts, left[ROW].tolist(), left["comp"].tolist()):
+            comps = right["comp"].to_numpy()
+            for x, comp in zip(lefts, left["comp"].tolist()):
                 first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
                 span = last - first
                 total = int(span.sum())
@@ -207,14 +228,37 @@ def _chunk_links(percent: int):
                     continue
                 at = np.repeat(first - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(total)
                 shared = np.bincount(owner[at], minlength=len(rights))
-                hits = np.flatnonzero((100 * shared >= percent * (len(x) + sizes - shared)) & (comps != comp))
-                _, one = np.unique(comps[hits], return_index=True)
-                found += [(row, int(rows[h])) for h in hits[one]]
+                hits = np.flatnonzero(100 * shared >= percent * (len(x) + sizes - shared))
+                found += [(comp, other) for other in np.unique(comps[hits]).tolist() if forest.join(comp, other)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return compare
 
 
+def _bucket_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each bucket in ``rows`` (_row, key, n, comp, main), on full sets.
+
+    A bucket is dealt into chunks by hash and all pairs of chunks are compared, so neither a bucket nor its pairs are ever
+    in one task. Rows outside the bucket's main component are compared with all rows. A pair of chunks gives fewer links
+    than it has rows.
+    """
+    counts = rows.groupBy("key").agg(
+        F.count("*").alias("left"), F.sum("n").alias("shingles"), F.count_if(F.col("comp") != F.col("main")).alias("apart")
+    )
+    chunks = F.greatest(F.ceil(F.col("left") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    rows = rows.join(counts.where("apart > 0").select("key", chunks.alias("chunks")), "key")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(ROW), F.col("chunks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    outside = rows.where("comp <> main").select("key", F.col("chunk").alias("i"), every.alias("j"), ROW, "comp")
+    inside = rows.select("key", every.alias("i"), F.col("chunk").alias("j"), ROW, "comp")
+    with_set = lambda side: side.join(sets, ROW).toDF(ROW, "key", "i", "j", "comp", "shingles")
+    return (
+        with_set(outside).groupBy("key", "i", "j")
+        .cogroup(with_set(inside).groupBy("key", "i", "j"))
+        .applyInPandas(_chunk_links(percent), "a long, b long")
+    )
+
+
 def _can_have_partner(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows of large open buckets without those that provably have no partner there.
 
@@ -229,56 +273,63 @@ def _can_have_partner(large: DataFrame, sets: DataFrame, percent: int) -> DataFr
     sizes = rows.select(ROW, F.size("shingles").alias("n")).join(alone, ROW, "left")
     sizes = stored(sizes.select(ROW, "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")), "large-sizes")
     other = F.least(F.greatest("s", "least"), "most")
-    return large.join(sizes, ROW).where(_similar(F.least(F.col("s"), other), F.col("n"), other, percent)).drop("n", "s")
+    return large.join(sizes.select(ROW, "s"), ROW).where(_similar(F.least(F.col("s"), other), F.col("n"), other, percent)).drop("s")
+
+
+def _as_links(labels: DataFrame) -> DataFrame:
+    """A component as links to its name: one per row."""
+    return labels.where(f"comp <> {ROW}").select(F.col(ROW).alias("a"), F.col("comp").alias("b"))
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their own and their leader's component."""
+    rows = members.join(labels, ROW, "left").withColumn("comp", F.coalesce("comp", F.col(ROW)))
+    rows = stored(rows.select(*members.columns, "comp"), "labelled")
+    several = rows.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col(ROW) == F.col("leader"), F.col("comp"))).alias("main")
+    )
+    return stored(rows.join(several.where("low < high").select("key", "main"), "key"), "open")
 
 
 def near_links(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """Labels ``_row, comp`` of all distinct sets that have a link, one row per set (the smallest row of a set).
 
     1. Every member of a bucket is compared with the bucket's smallest row; the links give first components.
-    2. Buckets that still hold several components are compared across them: small ones by a join, large ones in pairs
-       of chunks, so neither a bucket nor its pairs are ever in one task. Rows in the same component need no comparison,
-       nor do rows of large buckets with so many shingles of their own that no set there can be similar enough.
+    2. Rows of large buckets are compared within one of their buckets, the largest. Copies of one text share most of their
+       buckets, so this finds most links, once, and few components are left.
+    3. Buckets that still hold several components are compared across them: small ones by a join, large ones in pairs
+       of chunks. Rows in the same component need no comparison, nor do rows of large buckets with so many shingles of
+       their own that no set there can be similar enough.
+
+    From step to step a component is one link per row, and a comparison gives links between components only. So the links
+    stay in proportion to the rows, however many pairs of a group are similar.
     """
     reps = signed.where("n > 0").groupBy("set_id").agg(F.min(ROW).alias(ROW)).select(ROW)
     signed = signed.join(reps, ROW)
     keys = signed.select(ROW, "n", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min(ROW).alias("leader"), F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = keys.select(ROW, "key").join(buckets.where("members > 1"), "key")
-    members = stored(shared.select(ROW, "key", "leader", "members", "least", "most"), "buckets")
+    shared = keys.select(ROW, "n", "key").join(buckets.where("members > 1"), "key")
+    members = stored(shared.select(ROW, "n", "key", "leader", "members", "least", "most"), "buckets")
     signed = stored(signed.join(members.select(ROW).distinct(), ROW).select(ROW, "n", "signature"), "signed")
     sets = stored(full_sets(docs, size, signed), "sets")
     stars = members.where(f"leader <> {ROW}").select(F.col("leader").alias("a"), F.col(ROW).alias("b")).distinct()
-    links = stored(_verified(stars, signed, sets, percent), "star-links")
-    labels = components(links)
-
-    labelled = members.join(labels, ROW, "left").withColumn("comp", F.coalesce("comp", F.col(ROW)))
-    labelled = stored(labelled.select(ROW, "key", "leader", "members", "least", "most", "comp"), "labelled")
-    several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    main = labelled.where(f"{ROW} = leader").select("key", F.col("comp").alias("main"))
-    open_ = stored(labelled.join(several, "key").join(main, "key").select(ROW, "key", "members", "least", "most", "comp", "main"), "open")
-    small = open_.where(f"members <= {SMALL_BUCKET}").select(ROW, "key", "comp")
-    left, right = small.alias("l"), small.alias("r")
+    labels = components(stored(_verified(stars, signed, sets, percent), "star-links"))
+
+    open_ = _labelled(members, labels)
+    large = stored(_can_have_partner(open_.where(f"members > {SMALL_BUCKET}"), sets, percent), "large")
+    if not large.isEmpty():
+        own = large.groupBy(ROW).agg(F.max(F.struct("members", "key")).alias("own")).select(ROW, F.col("own.key").alias("key"))
+        inner = stored(_bucket_links(large.join(own, [ROW, "key"]), sets, percent).distinct(), "inner-links")
+        labels = components(_as_links(labels).unionByName(inner))
+        columns = [c for c in large.columns if c not in ("comp", "main")]
+        large = _labelled(large.select(columns), labels)
+    few = open_.where(f"members <= {SMALL_BUCKET}").select(ROW, "key").join(labels, ROW, "left")
+    few = stored(few.select(ROW, "key", F.coalesce("comp", F.col(ROW)).alias("comp")), "small")
+    left, right = few.alias("l"), few.alias("r")
     crossing = (F.col("l.key") == F.col("r.key")) & (F.col(f"l.{ROW}") < F.col(f"r.{ROW}")) & (F.col("l.comp") != F.col("r.comp"))
-    few = left.join(right, crossing).select(F.col(f"l.{ROW}").alias("a"), F.col(f"r.{ROW}").alias("b")).distinct()
-    few = _verified(few, signed, sets, percent)
-
-    large = _can_have_partner(open_.where(f"members > {SMALL_BUCKET}"), sets, percent)
-    counts = large.groupBy("key").agg(F.count("*").alias("left"), F.count_if(F.col("comp") != F.col("main")).alias("apart"))
-    large = large.join(counts.where("apart > 0"), "key").withColumn("chunks", F.ceil(F.col("left") / CHUNK).cast("int"))
-    chunk = F.pmod(F.xxhash64(ROW), F.col("chunks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    large = large.withColumn("chunk", chunk)
-    outside = large.where("comp <> main").select("key", F.col("chunk").alias("i"), every.alias("j"), ROW, "comp")
-    inside = large.select("key", every.alias("i"), F.col("chunk").alias("j"), ROW, "comp")
-    with_set = lambda side: side.join(sets, ROW).toDF(ROW, "key", "i", "j", "comp", "shingles")
-    many = (
-        with_set(outside).groupBy("key", "i", "j")
-        .cogroup(with_set(inside).groupBy("key", "i", "j"))
-        .applyInPandas(_chunk_links(percent), "a long, b long")
-    )
-    more = stored(few.unionByName(many).distinct(), "cross-links")
-    return components(links.unionByName(more))
+    pairs = left.join(right, crossing).select(F.col(f"l.{ROW}").alias("a"), F.col(f"r.{ROW}").alias("b")).distinct()
+    more = _verified(pairs, signed, sets, percent).unionByName(_bucket_links(large, sets, percent))
+    return components(_as_links(labels).unionByName(stored(more.distinct(), "cross-links")))
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -294,6 +345,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     labels = near_links(docs, signed, size, percent)
     reps = signed.where("n > 0").groupBy("set_id").agg(F.min(ROW).alias("rep"))
     named = reps.join(labels.withColumnRenamed(ROW, "rep"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
+    named = stored(named, "named")  # so that the join deals both sides anew and a set with very many rows can be split
     rows = signed.select(ROW, "doc_id", "n", "set_id")
     placed = rows.where("n > 0").join(named, "set_id").select(ROW, "doc_id", "n", "comp")
     placed = stored(placed.unionByName(rows.where("n = 0").select(ROW, "doc_id", "n", F.col(ROW).alias("comp"))), "placed")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.llm import near_dedup
 from tallyloom.llm.common import stored
 from tallyloom.llm.exact_dedup import drop_exact_copies, exact_groups, name_texts
 from tallyloom.llm.graph import components
@@ -105,6 +106,46 @@ def test_near_groups_in_large_buckets(spark, tmp_path):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def near_copies(words, copies, edits, seed=5):
+    """Copies of one text with a few words replaced: few are similar to any one of them, many to one another."""
+    import random
+
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(copies):
+        text = list(base)
+        for k in rnd.sample(range(words), rnd.randint(*edits)):
+            text[k] = f"e{rnd.randrange(40)}"
+        rows.append((i, " ".join(text), "en", "a", 1))
+    return rows
+
+
+def test_chunk_pairs_match_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    docs = table_of(spark, tmp_path, near_copies(60, 420, (1, 3)))
+    want, n = brute_components(docs.collect(), 5, 80)
+    got = near_groups(docs, 5)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == Counter(want)
+    assert 20 < n < 400 and got.where("stays").count() == n
+
+
+def test_links_stay_in_proportion_to_the_rows(spark, tmp_path, monkeypatch):
+    """A group of three times the copies has nine times the similar pairs, but about three times the links."""
+    links = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("star-links", "inner-links", "cross-links"):
+            links[copies] = links.get(copies, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    for copies in (300, 900):
+        near_groups(table_of(spark, tmp_path, near_copies(60, copies, (1, 2)), name=f"d{copies}"), 5)
+    assert links[300] > 100 and links[900] <= 5 * links[300] and links[900] <= 3 * 900
+
+
 def test_drop_near_copies_and_empty_tables(docs, spark, tmp_path):
     wide = stored(with_clashes(docs), "clash")
     kept = drop_near_copies(wide)
@@ -129,3 +170,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert SCHEMA and F
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_links(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(rnd.choice([120, 200, 320]))]
+    best = {i: i for link in links for i in link if link[0] != link[1]}
+    for _ in best:
+        for a, b in links:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    got = {r._row: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == best
