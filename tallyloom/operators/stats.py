@@ -29,7 +29,7 @@ def measured(value: Column) -> Column:
     return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(number)
 
 
-def _slot(value: Column) -> Column:
+def slot_of(value: Column) -> Column:
     """Monotone map of a finite number to a slot; zero has one of its own."""
     size = F.floor((F.log2(F.abs(value)) + OCTAVES) * SLOTS_PER_OCTAVE) + 1
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * size).cast("bigint")
@@ -71,7 +71,7 @@ def exact_percentiles(
         )
 
     group = F.struct(F.lit(0).alias("_all"), *by)
-    slotted = data.select(F.struct(group.alias("group"), _slot(F.col("_v")).alias("slot")).alias("_key"), "_v")
+    slotted = data.select(F.struct(group.alias("group"), slot_of(F.col("_v")).alias("slot")).alias("_key"), "_v")
     per_group = Window.partitionBy("_key.group")
     before = per_group.orderBy("_key.slot").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[r for p in percents.values() for r in _ranks(F.col("n"), p)])

@@ -18,7 +18,7 @@ from tallyloom.session import scratch_path, stored
 from tallyloom.sources import csvs, eventlog as event_logs, files, generate, logs, meta as metas
 from tallyloom.sources.conf import parse_conf
 from tallyloom.sources.tables import balanced_table, table
-from tallyloom.streaming import gauges, runs as run_streams
+from tallyloom.streaming import gauges, percentiles, runs as run_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -443,10 +443,9 @@ def rf_learning_curve(spark, folder):
 
 
 def _shaped_rollup(rollup: DataFrame) -> DataFrame:
-    return rollup.select(
-        F.col("window_start").cast("string").alias("window_start"), "source", "n",
-        F.round("avg_value", 9).alias("avg_value"), "max_value",
-    )
+    return rollup.withColumns({
+        "window_start": F.col("window_start").cast("string"), "avg_value": F.round("avg_value", 9),
+    })
 
 
 def _gauges(events: DataFrame) -> DataFrame:
@@ -460,28 +459,51 @@ def gauge_rollup(spark, folder):
 
 @registered
 def gauge_rollup_stream(spark, folder):
-    """Hourly windows that a stream over the events closes, two hours of lateness allowed."""
+    """Hourly windows of a stream over the events, two hours of lateness allowed: those it has closed and those still open."""
     path, state = scratch_path(spark, "gauges"), scratch_path(spark, "gauges-state")
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     rollup = gauges.gauge_rollup(_gauges(stream), width="1 hour", late="2 hours")
     gauges.store_rollup(rollup, path, state).awaitTermination()
-    return _shaped_rollup(spark.read.parquet(path))
+    return _shaped_rollup(gauges.all_windows(spark, path, state))
+
+
+def _arriving_log(spark, folder):
+    """Folder of comma log lines and the two deliveries that bring them, each a function to call: a new log, then more lines."""
+    source, lines = scratch_path(spark, "log"), fixtures.comma_lines(spark, folder)
+    part = lambda which: lines.where(which).select("value")
+    return source, [
+        lambda: logs.replace_log(part("seq % 3 <> 0"), source), lambda: logs.append_log(part("seq % 3 = 0"), source),
+    ]
 
 
 @registered
 def stream_run_stats(spark, folder):
-    """Comma log lines arrive as files, a stream appends their records to a table, statistics follow from it."""
-    source, path, state = (scratch_path(spark, name) for name in ("log", "runs", "runs-state"))
-    logs.replace_log(fixtures.comma_lines(spark, folder).select("value"), source)
-    run_streams.ingest_log(spark, source, path, state).awaitTermination()
-    rows = run_streams.running_stats(spark.read.parquet(path))
-    return rows.select(
+    """Comma log lines arrive in two deliveries; the statistics are brought up to date after each from its lines alone."""
+    source, deliveries = _arriving_log(spark, folder)
+    path, state = scratch_path(spark, "stats"), scratch_path(spark, "stats-state")
+    for deliver in deliveries:
+        deliver()
+        run_streams.keep_stats(spark, source, path, state).awaitTermination()
+    return run_streams.stored_stats(spark, path).select(
         "benchmark", "engine", "scale", "n", "min_sec", "max_sec",
         F.round("mean_sec", 6).alias("mean_sec"), F.round("std_sec", 6).alias("std_sec"),
     )
 
 
+@registered
+def stream_percentiles(spark, folder):
+    """Exact percentiles of the same log from stored counts that each delivery extends."""
+    source, deliveries = _arriving_log(spark, folder)
+    store, state = scratch_path(spark, "percentiles"), scratch_path(spark, "percentiles-state")
+    for deliver in deliveries:
+        deliver()
+        records = run_streams.log_stream(spark, source)
+        percentiles.keep_percentiles(records, store, state, "duration_sec", run_streams.RUN_KEYS).awaitTermination()
+    found = percentiles.stored_percentiles(spark, store, stats.PERCENTS, run_streams.RUN_KEYS)
+    return found.select(*run_streams.RUN_KEYS, "n", *[F.round(name, 6).alias(name) for name in stats.PERCENTS])
+
+
 @registered
 def eventlog_rollup(spark, folder):
     tasks = event_logs.task_table(fixtures.event_log_lines(spark, folder))

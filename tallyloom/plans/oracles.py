@@ -425,9 +425,9 @@ FROM events GROUP BY date_trunc('hour', ts), event_type"""
 
 ORACLES["gauge_rollup_stream"] = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS source, count(*) AS n,
-    round(avg(value), 9) AS avg_value, max(value) AS max_value
-FROM events GROUP BY date_trunc('hour', ts), event_type
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
+    round(avg(value), 9) AS avg_value, max(value) AS max_value,
+    date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) FROM events) - INTERVAL 2 HOUR AS open
+FROM events GROUP BY date_trunc('hour', ts), event_type"""
 
 ORACLES["stream_run_stats"] = f"""
 WITH {COMMA_LINES}
@@ -435,6 +435,12 @@ SELECT benchmark, engine, scale, count(*) AS n, min(duration_sec) AS min_sec, ma
     round(avg(duration_sec), 6) AS mean_sec, round(stddev_pop(duration_sec), 6) AS std_sec
 FROM comma_runs GROUP BY benchmark, engine, scale"""
 
+ORACLES["stream_percentiles"] = f"""
+WITH {COMMA_LINES}
+SELECT benchmark, engine, scale, count(*) AS n, round(quantile_cont(duration_sec, 0.5), 6) AS p50_sec,
+    round(quantile_cont(duration_sec, 0.9), 6) AS p90_sec, round(quantile_cont(duration_sec, 0.99), 6) AS p99_sec
+FROM comma_runs GROUP BY benchmark, engine, scale"""
+
 ORACLES["eventlog_rollup"] = """
 WITH t AS (
     SELECT user_id AS app, CAST(user_id % 20 AS INTEGER) AS stage_id, event_id, CAST(round(value * 1000) AS BIGINT) AS ms

@@ -1,9 +1,13 @@
 """Streams give the result of the batch form."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import stats
 from tallyloom.sources import logs
-from tallyloom.streaming import gauges, runs
+from tallyloom.streaming import gauges, percentiles, runs
 
 
 def rows(frame):
@@ -48,3 +52,87 @@ def test_gauge_windows_of_stream_and_batch(spark, tmp_path):
     end = 1_700_000_000 + 99 - 10
     batch = gauges.gauge_rollup(samples).where(F.unix_timestamp("window_start") + 5 <= end)
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch) and batch.count() == 34
+
+
+def test_statistics_follow_new_lines_only(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("log", "stats", "state"))
+    deliveries = [
+        ["WordCount,Spark,tiny,1.0", "bad", "WordCount,Spark,tiny,3.5", "WordCount,Spark,huge,9.25"],
+        ["WordCount,Spark,tiny,8.0", "WordCount,Spark,small,5.0"],
+    ]
+    for lines in deliveries:
+        write(spark, source, lines)
+        query = runs.keep_stats(spark, source, path, state)
+        query.awaitTermination()
+        # each file is read once: the rows of a run are the lines of its delivery
+        assert sum(p["numInputRows"] for p in query.recentProgress) == len(lines)
+        batch = runs.running_stats(logs.parse_comma_log(logs.read_lines(spark, source)))
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in runs.stored_stats(spark, path).select(batch.columns).collect()}
+        want = {tuple(r)[:3]: tuple(r)[3:] for r in batch.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    runs.keep_stats(spark, source, path, state).awaitTermination()  # nothing new
+    assert runs.stored_stats(spark, path).count() == 3
+
+
+def test_open_and_closed_windows_are_all_windows(spark, tmp_path):
+    def deliver(first, last):
+        spark.range(first, last).select(
+            F.concat(F.lit("host"), F.col("id") % 2).alias("source"), (F.col("id") * 1.5).alias("value"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        ).write.mode("append").parquet(str(tmp_path / "in"))
+
+    counts = []
+    for first, last in ((0, 60), (60, 100)):
+        deliver(first, last)
+        samples = spark.read.parquet(str(tmp_path / "in"))
+        stream = gauges.gauge_rollup(spark.readStream.schema(samples.schema).parquet(str(tmp_path / "in")), late="10 seconds")
+        gauges.store_rollup(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        both = gauges.all_windows(spark, str(tmp_path / "out"), str(tmp_path / "state"))
+        assert rows(both.drop("open")) == rows(gauges.gauge_rollup(samples))
+        counts.append(both.where("open").count())
+    assert counts == [6, 6]
+
+
+PERCENTS = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p100": 1.0}
+
+
+def percentile_batches(seed):
+    rng = random.Random(seed)
+    kinds = [
+        lambda: round(rng.gauss(0, 50), rng.choice([0, 3])), lambda: rng.choice([0.0, 1.0, 1.0, 7.5]), lambda: 10.0 ** rng.randint(-300, 300),
+        lambda: rng.choice([None, float("nan"), float("inf"), -2.0]),
+    ]
+    groups = ["a", "b", None]
+    return [[(g, kinds[min(3, groups.index(g) + rng.randrange(2))]()) for g in rng.choices(groups, [6, 2, 1], k=rng.choice([1, 30, 400]))] for _ in range(4)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stored_percentiles_equal_the_batch_form_after_every_batch(spark, tmp_path, seed):
+    store, so_far = str(tmp_path / "store"), []
+    for number, batch in enumerate(percentile_batches(seed)):
+        frame = spark.createDataFrame(batch, "g STRING, v DOUBLE")
+        percentiles.add_batch(frame, number, store, "v", ["g"])
+        if number == 1:
+            percentiles.add_batch(frame, number, store, "v", ["g"])  # a repeated batch counts once
+        so_far += batch
+        whole = stats.exact_percentiles(spark.createDataFrame(so_far, "g STRING, v DOUBLE"), "v", PERCENTS, ["g"], one_task=True)
+        want = {r.g: tuple(r)[1:] for r in whole.collect()}
+        got = {r.g: tuple(r)[2:] for r in percentiles.stored_percentiles(spark, store, PERCENTS, ["g"]).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+    percentiles.compact(spark, store, str(tmp_path / "compact"), ["g"])
+    again = percentiles.stored_percentiles(spark, str(tmp_path / "compact"), PERCENTS, ["g"])
+    assert {r.g: tuple(r)[2:] for r in again.collect()} == got
+
+
+def test_rank_queries_open_only_the_octaves_they_need(spark, tmp_path):
+    store = str(tmp_path / "store")
+    frame = spark.range(4000).select(F.pow(F.lit(2.0), F.col("id") / 200).alias("v"))  # twenty octaves
+    percentiles.add_batch(frame, 0, store, "v", [])
+    found = percentiles.stored_percentiles(spark, store, {"p50": 0.5}, [])
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line and "octave" in line]
+    assert scans and all("octave" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    opened = {int(name.split("octave=")[1].split("/")[0]) for name in spark.read.parquet(f"{store}/values").inputFiles()}
+    read = {r[0] for r in spark.read.parquet(f"{store}/values").where("_v BETWEEN 1023 AND 1025").select("octave").distinct().collect()}
+    assert len(opened) > 15 and len(read) <= 2
+    assert found.first().p50 == pytest.approx((2 ** (1999 / 200) + 2 ** (2000 / 200)) / 2)
+    assert percentiles.stored_percentiles(spark, store, {"p50": 0.5}, []).count() == 1
