@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyloom.functions import scalars
 from tallyloom.functions.parse import is_measured
@@ -18,7 +18,7 @@ from tallyloom.session import scratch_path, stored
 from tallyloom.sources import csvs, eventlog as event_logs, files, generate, logs, meta as metas
 from tallyloom.sources.conf import parse_conf
 from tallyloom.sources.tables import balanced_table, table
-from tallyloom.streaming import gauges, percentiles, runs as run_streams
+from tallyloom.streaming import collection, gauges, percentiles, runs as run_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -222,6 +222,18 @@ def collect_best_configs(spark, folder):
     return collect.collect_dataset(rows, True)
 
 
+@registered
+def collect_incremental(spark, folder):
+    """The same from CSV files in two layouts that arrive one after the other; the second collection reads the new files only."""
+    base, store, state = (scratch_path(spark, name) for name in ("csv", "collection", "collection-state"))
+    rows, known = fixtures.agg_like(spark, folder), T.StructType([*AGG, T.StructField("p_partkey", T.LongType())])
+    for name, part in (("first", rows.where("p_partkey % 3 = 0").select(*reversed(rows.columns))), ("second", rows.where("p_partkey % 3 <> 0"))):
+        csvs.write_csv(part, f"{base}/{name}")
+        query = collection.keep_collection(spark, base, store, state, known=known, ties=["p_partkey"])
+        query.awaitTermination()
+    return collection.best_rows(spark, store, ties=["p_partkey"]).drop("source_file")
+
+
 @registered
 def source_counts(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("source").alias("source_file"))

@@ -273,6 +273,14 @@ QUALIFY row_number() OVER (
         shuffle_partitions, rdd_compress, io_compression_codec, input_gb, scale
     ORDER BY median_sec, p_partkey) = 1"""
 
+ORACLES["collect_incremental"] = f"""
+WITH {AGG_LIKE}
+SELECT * FROM agg_like
+QUALIFY row_number() OVER (
+    PARTITION BY executors, executor_cores, executor_memory_gb, driver_cores, driver_memory_gb, parallelism,
+        shuffle_partitions, rdd_compress, io_compression_codec, input_gb, scale
+    ORDER BY median_sec, p_partkey) = 1"""
+
 ORACLES["source_counts"] = "SELECT count(*) AS rows, count(DISTINCT source) AS files FROM documents"
 
 ORACLES["dataset_build"] = """

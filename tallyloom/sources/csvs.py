@@ -27,25 +27,34 @@ def _plain_path(path):
     return F.regexp_replace(path, r"^file:(//)?", "")
 
 
-def _text_rows(spark: SparkSession, folder: str, name_glob: str, path_pattern: str | None) -> DataFrame:
-    """``value, path, at, row``: the lines of all files, with the offset of their split and their order in it."""
+def _lines(reader, folder: str, name_glob: str, path_pattern: str | None) -> DataFrame:
+    """``value, path, at``: the lines of all files, with the offset of their split."""
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
+        reader.option("recursiveFileLookup", True).option("pathGlobFilter", name_glob)
         .option("ignoreCorruptFiles", True).text(folder)
-        .select(
-            "value", _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"),
-            F.monotonically_increasing_id().alias("row"),
-        )
+        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"))
     )
     return lines.where(F.rlike("path", F.lit(path_pattern))) if path_pattern else lines
 
 
+def line_stream(spark: SparkSession, folder: str, name_glob: str = "*.csv", path_pattern: str | None = None) -> DataFrame:
+    """The lines of the files that are new, as a stream; a file is never cut between batches."""
+    return _lines(spark.readStream, folder, name_glob, path_pattern)
+
+
+def _text_rows(spark: SparkSession, folder: str, name_glob: str, path_pattern: str | None) -> DataFrame:
+    """``value, path, at, row``: lines with their order in their split."""
+    return _lines(spark.read, folder, name_glob, path_pattern).withColumn("row", F.monotonically_increasing_id())
+
+
 def csv_headers(spark: SparkSession, folder: str, name_glob: str = "*.csv", path_pattern: str | None = None) -> DataFrame:
-    """One row per readable, non-empty file: its path, its first line and that line's row.
+    """One row per readable, non-empty file: its path, its first line and that line's row."""
+    return _headers(_text_rows(spark, folder, name_glob, path_pattern))
 
-    Only the first split of a file can hold its header; the first line is picked map-side.
-    """
-    first = _text_rows(spark, folder, name_glob, path_pattern).where("at = 0")
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """Only the first split of a file can hold its header; the first line is picked map-side."""
+    first = lines.where("at = 0")
     header = F.regexp_replace(F.col("first.value"), r"^\x{FEFF}|\s+$", "")
     return (
         first.groupBy("path").agg(F.min_by(F.struct("value", "row"), "row").alias("first"))
@@ -86,12 +95,17 @@ def collect_csv(
     expression that the whole path must contain. Columns of ``known`` that occur get their declared type, others are
     text. Values are one line each. With no file at all the result is empty. See ``skipped_files``.
     """
-    headers = csv_headers(spark, folder, name_glob, path_pattern)
+    return table_of_lines(_text_rows(spark, folder, name_glob, path_pattern), known)
+
+
+def table_of_lines(lines: DataFrame, known: T.StructType | None = None) -> DataFrame:
+    """The table that ``value, path, at, row`` lines of CSV files hold, see ``collect_csv``."""
+    headers = _headers(lines)
     commas = F.length("header") - F.length(F.replace("header", F.lit(",")))
     width = headers.agg(F.max(commas)).first()[0]
     if width is None:
         empty = T.StructType([*(known or []), T.StructField("source_file", T.StringType())])
-        return spark.createDataFrame([], empty)
+        return lines.sparkSession.createDataFrame([], empty)
     fields = [f"c{i}" for i in range(width + 1)]
     shape = ", ".join(f"{c} STRING" for c in fields)
 
@@ -103,8 +117,7 @@ def collect_csv(
     found = {r[0] for r in headers.select(F.explode("names")).distinct().collect() if r[0]}
     types = {f.name: f.dataType for f in known or []}
     order = [*[n for n in types if n in found], *sorted(found - set(types))]
-    lines = _text_rows(spark, folder, name_glob, path_pattern).join(headers, "path")
-    lines = lines.where("row <> header_row AND trim(value) <> ''").select("path", "names", cells(F.rtrim("value")).alias("cells"))
+    lines = lines.join(headers, "path").where("row <> header_row AND trim(value) <> ''").select("path", "names", cells(F.rtrim("value")).alias("cells"))
     value = lambda name: F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
     return lines.select(
         *[_typed(value(n), types.get(n, T.StringType())).alias(n) for n in order], _plain_path(F.col("path")).alias("source_file")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import stats
 from tallyloom.sources import logs
-from tallyloom.streaming import gauges, percentiles, runs
+from tallyloom.operators.collect import collect_dataset
+from tallyloom.schemas import AGG, CONFIG_KEYS
+from tallyloom.sources import csvs
+from tallyloom.streaming import collection, gauges, percentiles, runs
 
 
 def rows(frame):
@@ -136,3 +139,42 @@ def test_rank_queries_open_only_the_octaves_they_need(spark, tmp_path):
     assert len(opened) > 15 and len(read) <= 2
     assert found.first().p50 == pytest.approx((2 ** (1999 / 200) + 2 ** (2000 / 200)) / 2)
     assert percentiles.stored_percentiles(spark, store, {"p50": 0.5}, []).count() == 1
+
+
+def test_a_second_collection_reads_new_files_only(spark, tmp_path):
+    folder, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    deliveries = [
+        {"a.csv": "executors,scale,median_sec\n1,tiny,5.0\n2,tiny,7.0\n1,tiny,4.0\n,tiny,2.0\n", "b.csv": "scale,executors,n\nhuge,3,9\n"},
+        {"c.csv": "median_sec,executors,scale,note\n3.0,1,tiny,x\n9.0,2,tiny,y\n1.5,4,small,z\n,,,\n2.0,,tiny,tie\n", "empty.csv": ""},
+        {"d/e.csv": "scale\n"},
+    ]
+    for files in deliveries:
+        for name, text in files.items():
+            path = tmp_path / "in" / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text)
+        query = collection.keep_collection(spark, folder, store, state)
+        query.awaitTermination()
+        assert sum(p["numInputRows"] for p in query.recentProgress) == sum(len(t.splitlines()) for t in files.values())
+        whole = csvs.collect_csv(spark, folder, "*.csv", AGG)
+        lacking = [c for c in (*CONFIG_KEYS, "median_sec") if c not in whole.columns]
+        whole = whole.select("*", *[F.lit(None).cast(AGG[c].dataType).alias(c) for c in lacking])
+        shown = ["executors", "scale", "median_sec", "source_file", *[c for c in ("n", "note") if c in whole.columns]]
+        want = collect_dataset(whole, True).select(shown)
+        got = collection.best_rows(spark, store).select(shown)
+        order = lambda frame: sorted(frame.collect(), key=str)
+        assert order(got) == order(want)
+        assert order(collection.collected_rows(spark, store).select(shown)) == order(whole.select(shown))
+    scores = [r.median_sec for r in got.collect()]
+    assert [x for x in scores if x is not None] == sorted(x for x in scores if x is not None)
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    store = str(tmp_path / "store")
+    frame = lambda rows: spark.createDataFrame(rows, "k LONG, median_sec DOUBLE, source_file STRING")
+    first, second = frame([(i, float(i % 7), "a") for i in range(300)]), frame([(i, float(i % 5), "b") for i in range(200, 400)])
+    for number, rows in ((0, first), (1, second), (1, second)):
+        collection.merge_rows(rows, number, store, ["k"])
+    want = {r.k: (r.median_sec, r.source_file) for r in collect_dataset(first.unionByName(second), True, ["k"]).collect()}
+    assert {r.k: (r.median_sec, r.source_file) for r in collection.best_rows(spark, store).collect()} == want
+    assert collection.collected_rows(spark, store).count() == 500
