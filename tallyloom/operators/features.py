@@ -7,10 +7,13 @@ from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyloom.functions.scalars import flag_from_text, hash_bucket
+from tallyloom.operators.ordered import number_rows
 from tallyloom.schemas import CATEGORICAL, FEATURES, TARGETS
+from tallyloom.session import cut_lineage, scratch_path
 
 # Percentage of test rows, and the train fractions of the learning curve.
 TEST_PERCENT = 25
@@ -92,3 +95,45 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], out: str = "feat
 
 def fit_encoder(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
     return encoder(numeric, categorical).fit(train)
+
+
+def category_table(train: DataFrame, column: str) -> DataFrame:
+    """(category, ordinal): the distinct categories of the train rows, numbered from 0 in alphabetical order.
+
+    The table takes the place of an encoder's label list. It is dealt by range, so it is never in one task or on the driver.
+    """
+    seen = train.select(F.col(column).cast("string").alias("category")).where("category IS NOT NULL").distinct()
+    numbered = number_rows(cut_lineage(seen), ["category"], out="ordinal")
+    return cut_lineage(numbered.select("category", (F.col("ordinal") - 1).cast("int").alias("ordinal")))
+
+
+def sparse_one_hot(df: DataFrame, numeric: Sequence[str], tables: dict[str, DataFrame]) -> DataFrame:
+    """Adds ``size, indices, values``: the vector that ``encoder`` makes, without its zeros, for any number of categories.
+
+    ``tables`` gives a category table per column. Rows and tables are joined by category, so a task sees only the
+    categories of its rows; a category that is missing or unseen finds no partner and sets nothing.
+    """
+    entry = lambda at, value: F.struct(at.alias("at"), value.alias("value"))
+    entries = [entry(F.lit(i), F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))) for i, c in enumerate(numeric)]
+    size, rows = len(numeric), df
+    for column, table in tables.items():
+        place = f"_{column}_ordinal"
+        named = table.select(F.col("category").alias(f"_{column}"), F.col("ordinal").alias(place))
+        rows = rows.join(named, F.col(column).cast("string") == F.col(f"_{column}"), "left").drop(f"_{column}")
+        entries.append(entry(F.col(place) + size, F.lit(1.0)))
+        size += table.count()
+    some = F.filter(F.array(*entries), lambda e: e["at"].isNotNull() & (e["value"] != 0))
+    rows = rows.withColumn("_entries", some)
+    return rows.select(
+        *df.columns, F.lit(size).alias("size"), F.col("_entries.at").alias("indices"), F.col("_entries.value").alias("values")
+    )
+
+
+def with_sparse_vectors(df: DataFrame, out: str = "features") -> DataFrame:
+    """``size, indices, values`` as one vector column. A vector is stored as such a struct, so the table is read back as vectors."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), "size", "indices", "values")
+    rest = [c for c in df.columns if c not in ("size", "indices", "values")]
+    path = scratch_path(df.sparkSession, "vectors")
+    df.select(*rest, parts.alias(out)).write.parquet(path)
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(out, VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)

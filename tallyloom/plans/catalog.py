@@ -369,6 +369,19 @@ def one_hot(spark, folder):
     )
 
 
+@registered
+def one_hot_wide(spark, folder):
+    """One-hot customer of each order behind its price, from a category table; customers of no train order set nothing."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    known = features.category_table(orders.where("o_orderkey % 5 <> 0"), "o_custkey")
+    vectors = features.sparse_one_hot(orders, ["o_totalprice"], {"o_custkey": known})
+    hot = F.filter(F.arrays_zip("indices", "values"), lambda e: e["indices"] > 0)
+    return vectors.select(
+        "o_orderkey", "size", F.get("values", F.lit(0)).alias("price"), F.get(hot.getField("indices"), F.lit(0)).alias("hot"),
+        F.coalesce(F.get(hot.getField("values"), F.lit(0)), F.lit(0.0)).alias("flag"),
+    )
+
+
 def _constant_predictions(spark, folder):
     _, train, test = _split_rows(spark, folder)
     return models.constant_predictions(train, test, {"Dummy": "median", "Mean": "mean"})

@@ -394,6 +394,14 @@ ORACLES["one_hot"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS f0,
     CAST(l_returnflag = 'A' AS DOUBLE) AS f1, CAST(l_returnflag = 'N' AS DOUBLE) AS f2 FROM lineitem"""
 
+ORACLES["one_hot_wide"] = """
+WITH known AS (
+    SELECT c, CAST(row_number() OVER (ORDER BY c) AS INTEGER) AS place
+    FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c FROM orders WHERE o_orderkey % 5 <> 0))
+SELECT o_orderkey, CAST((SELECT count(*) FROM known) + 1 AS INTEGER) AS size, o_totalprice AS price, place AS hot,
+    CASE WHEN place IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS flag
+FROM orders LEFT JOIN known ON CAST(o_custkey AS VARCHAR) = c"""
+
 ORACLES["dummy_metrics"] = f"WITH {PREDICTIONS} SELECT * FROM scores"
 
 ORACLES["metrics_wide"] = ORACLES["dummy_metrics"]

@@ -10,10 +10,13 @@ from tallyloom.functions import parse
 # Fixed value: header of the tab-separated report.
 REPORT_HEADER = "Benchmark\tEngine\tScale\tDuration(s)"
 
-# Position of a line in a text input: file, offset of the scan split, row within the split.
-LOG_BLOCK = ["log_file", "log_offset"]
+# Position of a line in a text input: time and name of the file, offset of the scan split, piece of the split; then the row.
+LOG_BLOCK = ["log_time", "log_file", "log_offset", "log_piece"]
 LOG_ORDER = ["log_row"]
 
+# Rows of a piece. A compressed file is one split however long it is, and is cut into pieces by row.
+PIECE_ROWS = 1_000_000
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines of a file or folder, one string column ``value``."""
@@ -23,20 +26,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their position, so that log order survives any later shuffle.
 
-    A split is read by one task from front to back, so the running id orders the rows of a split, and
-    file and offset order the splits. An absent file has no lines.
+    Files are in the order in which they were last written to, those of the same time by name: a log that is appended to
+    file by file, by many tasks at once, keeps the order of its batches whatever its files are called. A split is read by
+    one task from front to back, so the running id orders its rows. An absent file has no lines.
     """
     try:
         lines = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "value STRING, log_file STRING, log_offset BIGINT, log_row BIGINT")
+        shape = "value STRING, log_time TIMESTAMP, log_file STRING, log_offset BIGINT, log_piece INT, log_row BIGINT"
+        return spark.createDataFrame([], shape)
+    row = F.monotonically_increasing_id()
     return lines.select(
         "value",
+        F.col("_metadata.file_modification_time").alias("log_time"),
         F.col("_metadata.file_path").alias("log_file"),
         F.col("_metadata.file_block_start").alias("log_offset"),
-        F.monotonically_increasing_id().alias("log_row"),
+        F.floor(row.bitwiseAND((1 << 33) - 1) / PIECE_ROWS).cast("int").alias("log_piece"),
+        row.alias("log_row"),
     )
 
 

@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallyloom.operators import collect, conf, features, metrics, models, ordered, resources, runs, speedup, stats, wordcount
@@ -240,6 +241,25 @@ def test_one_hot_unseen_and_missing_are_zero(spark):
     assert [r.features.toArray().tolist() for r in encoded] == [[1, 1, 0], [2, 0, 1], [3, 0, 0], [4, 0, 0]]
 
 
+def test_sparse_one_hot_equals_the_encoder(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: rng.choice([None, *(f"c{i}" for i in range(n))])
+    rows = [(i, rng.choice([None, 0.0, 1.5, float(i)]), rng.randrange(3), word(40), word(3)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id LONG, x DOUBLE, y LONG, c STRING, d STRING")
+    train = frame.where("id % 3 <> 0 AND c <> 'c7'")
+    want = {r.id: r.features.toArray().tolist() for r in features.fit_encoder(train, ["x", "y"], ["c", "d"]).transform(frame).collect()}
+    for limit in (200_000, -1):  # in one task, and dealt by range
+        monkeypatch.setattr("tallyloom.session.ONE_TASK_ROWS", limit)
+        tables = {c: features.category_table(train, c) for c in ("c", "d")}
+        made = features.with_sparse_vectors(features.sparse_one_hot(frame, ["x", "y"], tables))
+        assert made.columns == [*frame.columns, "features"]
+        got = {r.id: r.features for r in made.collect()}
+        assert all(type(v).__name__ == "SparseVector" for v in got.values())
+        assert {i: str(v.toArray().tolist()) for i, v in got.items()} == {i: str(v) for i, v in want.items()}
+    model = features.fit_encoder(train, ["x"], ["c"])  # the vectors are ordinary ones
+    assert len(model.stages) and made.select(features.F.size(vector_to_array("features"))).first()[0] == len(want[0])
+
+
 def test_split_is_stable_and_fractions_are_nested(spark):
     frame = spark.range(4000)
     split = lambda df: {r.id: r.part for r in features.with_split(df, ["id"]).collect()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.collect import source_counts
+from tallyloom.operators.ordered import number_rows
 from tallyloom.plans import flows
 from tallyloom.schemas import AGG, META, RUNS
 from tallyloom.sources import csvs, files, generate, logs, meta
@@ -215,3 +216,29 @@ def test_event_log_of_a_real_application(spark, tmp_path):
     assert app_durations(lines).first().app_sec > 0
     large = stage_rollup(task_table(lines), one_task=False).collect()
     assert sorted(map(tuple, large)) == sorted(map(tuple, stages))
+
+
+@pytest.mark.parametrize("one_task", [True, False])
+def test_runs_are_numbered_across_appended_and_compressed_files(spark, tmp_path, monkeypatch, one_task):
+    """Names against the order of writing, a compressed file in pieces, lines that are no records in between."""
+    import gzip
+    import os
+
+    monkeypatch.setattr(logs, "PIECE_ROWS", 7)
+    seconds, when = iter(range(1, 1000)), 1_700_000_000
+    for name, count in (("z.log", 25), ("m.log.gz", 40), ("a.log", 10), ("b.log", 1), ("c.log", 30)):
+        lines = [f"WordCount,Spark,tiny,{next(seconds)}.0" if i % 4 else "# note" for i in range(count)]
+        text = ("\n".join(lines) + "\n").encode()
+        (tmp_path / name).write_bytes(gzip.compress(text) if name.endswith(".gz") else text)
+        when += 0 if name == "a.log" else 10  # a.log and the file before it have the same time
+        os.utime(tmp_path / name, (when, when))
+    records = logs.parse_comma_log(logs.read_ordered_lines(spark, str(tmp_path)))
+    numbered = number_rows(records, logs.LOG_ORDER, blocks=logs.LOG_BLOCK, one_task=one_task).collect()
+    by_place = sorted(numbered, key=lambda r: (r.log_time, r.log_file, r.log_offset, r.log_row))
+    assert [r.run_idx for r in by_place] == list(range(1, len(by_place) + 1))
+    files = [r.log_file.rsplit("/", 1)[1] for r in by_place]
+    assert list(dict.fromkeys(files)) == ["z.log", "a.log", "m.log.gz", "c.log"]  # b.log has no record
+    within = {}
+    for r in by_place:
+        within.setdefault(r.log_file, []).append(r.duration_sec)
+    assert all(v == sorted(v) for v in within.values()) and len({r.log_piece for r in by_place}) > 3
