@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from collections import Counter
@@ -13,15 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.common import ROW, bounded_batches, stored, with_rows
 
-# The context of a byte: the last byte as it is, the four before it folded to five bits (letter case and the split of
-# letters and signs fall together). Each older byte extends the one context before it, which makes a tree of depth 5.
+# The context of a byte: the five bytes before it. Each older byte extends the context before it by one, which makes a tree.
 DEPTH = 5
-FOLD = 31
 EDGE = b"\xff"  # a byte that UTF-8 never has: stands before and after each text
 
-# ContextModel, the form in memory, has at most so many nodes of its own; score_documents has no such bound.
-MOST_NODES = 1 << 16
-
 # Words with at least this share of all training tokens are sent to the workers: never more than 2 ** 20 words.
 COMMON = 2.0**-20
 
@@ -43,58 +37,11 @@ def cells(text: bytes) -> np.ndarray:
     n = len(text) + 1
     key = padded[DEPTH - 1 : DEPTH - 1 + n].copy()
     for back in range(2, DEPTH + 1):
-        key <<= 5
-        key |= padded[DEPTH - back : DEPTH - back + n] & FOLD
+        key <<= 8
+        key |= padded[DEPTH - back : DEPTH - back + n]
     return (key << 8) | padded[DEPTH:]
 
 
-def _shift(depth: int) -> int:
-    """Bits of a cell below its context of this depth."""
-    return 8 + 5 * (DEPTH - depth)
-
-
-class ContextTree:
-    """Nodes by number, parents first; 0 is the root. ``first`` leads from the last byte to a node, ``step`` from a node
-    by each older byte; a node without contexts below leads to itself."""
-
-    def __init__(self, kept: dict[int, np.ndarray]):
-        """``kept``: the contexts of each depth that are nodes of their own, ascending."""
-        first = kept.get(1, np.empty(0, np.int64))
-        size = 1 + len(first) + 1
-        self.first = np.full(256, size - 1, np.int32)
-        self.first[first] = np.arange(1, size - 1)
-        parents, depths = [np.full(1, -1), np.zeros(size - 1, int)], [np.zeros(1, int), np.ones(size - 1, int)]
-        above, at = first, np.arange(1, size - 1)
-        steps = [np.repeat(np.arange(size, dtype=np.int32)[:, None], 32, 1)]
-        for depth in range(2, DEPTH + 1):
-            contexts = kept.get(depth, np.empty(0, np.int64))
-            up = at[np.searchsorted(above, contexts >> 5)] if len(contexts) else np.empty(0, int)
-            own = size + np.arange(len(contexts))
-            rest = size + len(contexts) + np.arange(len(at))  # under each node one for its rarer contexts
-            size += len(contexts) + len(at)
-            steps.append(np.repeat(np.arange(size - len(contexts) - len(at), size, dtype=np.int32)[:, None], 32, 1))
-            steps = [np.concatenate(steps)]
-            steps[0][at] = rest[:, None]
-            steps[0][up, contexts & FOLD] = own
-            parents.append(np.concatenate([up, at]))
-            depths.append(np.full(len(contexts) + len(at), depth))
-            above, at = contexts, own
-        self.step = steps[0]
-        self.parent, self.depth = np.concatenate(parents).astype(np.int32), np.concatenate(depths).astype(np.int32)
-        self.last = np.bincount(self.parent[1:], minlength=size) == 0  # nodes where a walk ends
-        self.top = np.arange(size, dtype=np.int32)  # the node of depth 1 above
-        for depth in range(2, DEPTH + 1):
-            level = self.depth == depth
-            self.top[level] = self.top[self.parent[level]]
-
-    def walk(self, cell: np.ndarray) -> np.ndarray:
-        """The node in which each cell's context ends."""
-        node = self.first[cell >> _shift(1)]
-        for depth in range(2, DEPTH + 1):
-            node = self.step[node, (cell >> _shift(depth)) & FOLD]
-        return node
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, eight steps up so that it is exact to doubles for all x >= 0.5."""
     low = x < 8
@@ -107,98 +54,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.where(low, np.log(product), 0)
 
 
-def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions of a byte, in heap order, for each row of byte counts."""
-    zeros, ones, level = [], [], counts
-    while level.shape[1] > 1:
-        zeros.insert(0, level[:, 0::2])
-        ones.insert(0, level[:, 1::2])
-        level = level[:, 0::2] + level[:, 1::2]
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
-
-
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of any sequence with these counts."""
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - 2 * 0.5723649429247001
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of the 256 byte probabilities from the probability of a one at each decision."""
-    logs = np.zeros((len(one), 1))
-    for level in range(8):
-        p = one[:, (1 << level) - 1 : (2 << level) - 1]
-        logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], axis=2).reshape(len(one), 2 * p.shape[1])
-    return logs
-
-
-def subtree(tree: ContextTree, top: int, node: np.ndarray, symbol: np.ndarray, n: np.ndarray, root=None):
-    """Works out the part of the tree below one last byte from the counts in the nodes where walks end.
-
-    Without ``root``: the byte counts and the log weighted probability of each of the 255 decisions at the top.
-    With ``root`` (its own probability of a one and its share, per decision): the nodes where walks end, and the log10
-    probabilities of the 256 bytes in each. Decisions are independent, so they are worked out 32 at a time.
-    """
-    members = [np.flatnonzero((tree.top == top) & (tree.depth == d)) for d in range(1, DEPTH + 1)]
-    place = {}
-    counts = []
-    for ids in members:
-        place.update(zip(ids.tolist(), range(len(ids))))
-        counts.append(np.zeros((len(ids), 256)))
-    up = [np.array([place[p] for p in tree.parent[ids].tolist()], int) if d else None for d, ids in enumerate(members)]
-    level = tree.depth[node] - 1
-    for d in range(DEPTH - 1, -1, -1):
-        here = level == d
-        np.add.at(counts[d], (np.array([place[x] for x in node[here].tolist()], int), symbol[here]), n[here])
-        if d:
-            np.add.at(counts[d - 1], up[d], counts[d])
-    bits = [bit_counts(c) for c in counts]
-    weighted, one = [], [np.empty((len(ids), 255)) for ids in members]
-    for at in range(0, 255, 32):
-        zeros, ones = [z[:, at : at + 32] for z, _ in bits], [o[:, at : at + 32] for _, o in bits]
-        seen = [z + o > 0 for z, o in zip(zeros, ones)]
-        kt = [(o + 0.5) / (z + o + 1) for z, o in zip(zeros, ones)]
-        share, below = [None] * DEPTH, None
-        for d in range(DEPTH - 1, -1, -1):
-            mixed = log_kt(zeros[d], ones[d])
-            if below is not None:
-                parts = np.zeros_like(mixed)
-                np.add.at(parts, up[d + 1], below)
-                inner = ~tree.last[members[d]]
-                own = mixed
-                mixed = np.where(inner[:, None], np.logaddexp(own, parts) - np.log(2), own)
-                share[d] = np.exp(own - np.log(2) - mixed)
-            below = mixed
-        weighted.append(below[0])
-        if root is not None:
-            root_one, root_share = root[0][at : at + 32], root[1][at : at + 32]
-            for d in range(DEPTH):
-                p, row = kt[d], np.arange(len(members[d]))
-                for e in range(d - 1, -1, -1):
-                    deeper, row = seen[e + 1][row], up[e + 1][row]
-                    p = np.where(deeper, share[e][row] * kt[e][row] + (1 - share[e][row]) * p, kt[e][row])
-                one[d][:, at : at + 32] = np.where(seen[0][row], root_share * root_one + (1 - root_share) * p, root_one)
-    if root is None:
-        return counts[0].sum(0), np.concatenate(weighted)
-    ends = [tree.last[ids] for ids in members]
-    return np.concatenate([i[e] for i, e in zip(members, ends)]), np.concatenate([byte_logs(o[e]) for o, e in zip(one, ends)])
-
-
-def _top_part(tree: ContextTree):
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        symbols, weighted = subtree(tree, int(rows["top"].iloc[0]), *(rows[c].to_numpy(np.int64) for c in ("node", "symbol", "n")))
-        return pd.DataFrame({"symbols": [symbols.tolist()], "weighted": [weighted.tolist()]})
-
-    return work
-
-
-def _rows_below(tree: ContextTree, root):
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, logs = subtree(tree, int(rows["top"].iloc[0]), *(rows[c].to_numpy(np.int64) for c in ("node", "symbol", "n")), root)
-        return pd.DataFrame({"node": ids, "logs": [r.tobytes() for r in logs.astype(np.float16)]})
-
-    return work
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
@@ -285,9 +145,9 @@ def _weighed(level: DataFrame, deepest: bool) -> DataFrame:
     )
 
 
-def _above(node: Column, depth: int) -> Column:
+def _above(node: Column) -> Column:
     """The same decision one context up. A node is a context of its depth, and the decision's place below in 8 bits."""
-    return F.shiftleft(F.shiftright(node, 8 + (5 if depth > 1 else 8)), 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
+    return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
 
 
 def cell_logs(cells_: DataFrame) -> DataFrame:
@@ -311,7 +171,7 @@ def cell_logs(cells_: DataFrame) -> DataFrame:
     levels = {}
     for depth in range(DEPTH, -1, -1):
         levels[depth] = stored(_weighed(level, depth == DEPTH), f"contexts-{depth}")
-        level = levels[depth].groupBy(_above(F.col("node"), depth).alias("node")).agg(
+        level = levels[depth].groupBy(_above(F.col("node")).alias("node")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")
         )
     # done: what the depths above add to the probability of a one; left: the weight of the depths from here on.
@@ -319,7 +179,7 @@ def cell_logs(cells_: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         if depth:
             up = down.select(F.col("node").alias("up"), "done", "left", "p")
-            down = levels[depth].join(up, _above(F.col("node"), depth) == F.col("up"))
+            down = levels[depth].join(up, _above(F.col("node")) == F.col("up"))
         estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
         seen = F.col("zeros") + F.col("ones") > 0
         down = down.select(
@@ -384,68 +244,6 @@ def text_parts(text: bytes, part: int = 1 << 18):
         yield cells(text[at - back : at + part])[back : None if at + part > len(text) else -1]
 
 
-def kept_contexts(cells_: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """The contexts of each depth that hold at least 2 ** k of the corpus's bytes, for the least k that leaves ``most``."""
-    each = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("depth"), F.shiftright("cell", _shift(d)).alias("context")) for d in range(1, DEPTH + 1)
-    ])).alias("c")
-    sums = stored(cells_.select(each, "n").groupBy("c.depth", "c.context").agg(F.sum("n").alias("n")), "contexts")
-    sizes = sums.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect()
-    least, left = 0, most
-    for size in sizes:
-        left -= size["count"]
-        if left < 0:
-            least = size["k"] + 1
-            break
-    kept = sums.where(F.col("n") >= 2.0**least).select("depth", "context").toPandas()  # at most ``most`` rows
-    return {d: np.sort(kept["context"][kept["depth"] == d].to_numpy(np.int64)) for d in range(1, DEPTH + 1)}
-
-
-class ContextModel:
-    """A tree in memory, of at most ``most`` contexts: the rarer ones below a node are one node together. Documents are
-    scored by ``cell_logs`` instead, which merges none.
-
-    The tree, and for each node where a walk ends a row of log10 probabilities of the next byte."""
-
-    def __init__(self, counts: DataFrame, most: int = MOST_NODES):
-        cells_ = counts.where("cell IS NOT NULL").select("cell", "n")
-        self.tree = tree = ContextTree(kept_contexts(cells_, most))
-        top = tree.top
-
-        def end(batches):
-            for batch in batches:
-                cell = batch.column(0).to_numpy(zero_copy_only=False)
-                node = tree.walk(cell)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(top[node], pa.int32()), pa.array(node, pa.int32()), pa.array(cell & 255, pa.int64()), batch.column(1)],
-                    names=["top", "node", "symbol", "n"],
-                )
-
-        ends = cells_.mapInArrow(end, "top int, node int, symbol long, n long")
-        ends = stored(ends.groupBy("top", "node", "symbol").agg(F.sum("n").alias("n")), "context-counts")
-        parts = ends.groupBy("top").applyInPandas(_top_part(tree), "symbols array<double>, weighted array<double>").toPandas()
-        symbols = np.sum(parts["symbols"].tolist(), axis=0) if len(parts) else np.zeros(256)
-        below = np.sum(parts["weighted"].tolist(), axis=0) if len(parts) else np.zeros(255)
-        zeros, ones = (x[0] for x in bit_counts(symbols[None, :]))
-        own = log_kt(zeros, ones)
-        share = np.exp(own - np.logaddexp(own, below))
-        one = (ones + 0.5) / (zeros + ones + 1)
-        rows = ends.groupBy("top").applyInPandas(_rows_below(tree, (one, share)), "node int, logs binary").toPandas()
-        self.logs = np.zeros((len(rows) + 1, 256), np.float16)
-        self.logs[0] = byte_logs(one[None, :])[0]
-        for i, logs in enumerate(rows["logs"]):
-            self.logs[i + 1] = np.frombuffer(logs, np.float16)
-        self.row = np.zeros(len(tree.parent), np.int32)  # the root's row where no text ever went
-        self.row[rows["node"].to_numpy(np.int64)] = np.arange(1, len(rows) + 1)
-
-    def of_cells(self, cell: np.ndarray) -> float:
-        return float(self.logs[self.row[self.tree.walk(cell)], cell & 255].sum(dtype=np.float64))
-
-    def score(self, text: bytes) -> float:
-        """log10 of the probability of a lower-cased text and its end."""
-        return sum(self.of_cells(part) for part in text_parts(text))
-
-
 class _Known(dict):
     def __missing__(self, word):
         return float("nan")
@@ -457,9 +255,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Both models learn from all rows whose crc32 of the id, as text, leaves no remainder 1 by 5 (a null id counts as an
     empty text) and score every row. Null texts count as empty: one end token. An empty table gives no rows.
 
-    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 5, whose older
-    four bytes are cut to five bits: each byte is eight binary decisions, each with a Krichevsky-Trofimov estimate per
-    depth, mixed with the weights of context-tree weighting. Where a context has never met a decision, the deepest one
+    ``score`` is the log10 probability of the text's bytes and an end sign under a context tree of depth 5: each byte is
+    eight binary decisions, each with a Krichevsky-Trofimov estimate per depth, mixed with the weights of context-tree
+    weighting. Where a context has never met a decision, the deepest one
     that has is used. Every context is a node of its own, however rare. ``bits_per_byte`` is the code length over the
     bytes and the end. ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over words and end.
 
@@ -478,8 +276,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     logs = stored(cell_logs(met_cells).select("cell", "of", "log"), "cell-logs")
     least = least_sent(logs, SENT_CELLS)
     common = logs.where(F.col("of") >= least).select("cell", "log").toArrow()  # at most SENT_CELLS rows
-    table = CellTable(common["cell"].to_numpy(), common["log"].to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast((known, table))
+    # Plain arrays: a broadcast object of a class of this package would ask for the package on the workers.
+    sent = docs.sparkSession.sparkContext.broadcast((known, common["cell"].to_numpy(), common["log"].to_numpy()))
     schema = (
         f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
         "n_bytes long, word binary, n long"
@@ -487,8 +285,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def score(batches):
-        known, table = sent.value
-        known = _Known(known)
+        known, table = _Known(sent.value[0]), CellTable(*sent.value[1:])
         for batch in batches:
             n = batch.num_rows
             tokens, found, base, scores, sizes = [], [], [], [], []

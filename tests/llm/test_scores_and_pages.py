@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import ctw, html_text, url_rules
 from tallyloom.llm.catalog import op3_url_rules
@@ -49,7 +50,7 @@ class PlainTree:
     def steps(text):
         data = [255] * 5 + list(text) + [255]
         for i in range(5, len(data)):
-            yield (data[i - 1], *(data[i - k] & 31 for k in (2, 3, 4, 5))), data[i]
+            yield tuple(data[i - k] for k in (1, 2, 3, 4, 5)), data[i]
 
     @staticmethod
     def bits(symbol):
@@ -131,13 +132,42 @@ def test_scores_of_an_empty_table_and_a_model_without_texts(spark, tmp_path):
 
 
 def test_probabilities_of_all_bytes_add_up(spark):
-    counts = ctw.count_corpus(spark.createDataFrame([(bytearray(b"abracadabra"),), (bytearray("né".encode()),)], "text binary"))
-    for most in (1 << 16, 40, 8, 0):  # down to a single node for all contexts
-        model = ctw.ContextModel(counts, most)
-        assert len(model.tree.parent) <= 2 * most + 2
-        assert np.allclose((10.0 ** model.logs.astype(float)).sum(axis=1), 1, atol=5e-3)
-    long = b"abra cadabra " * 100_000
-    assert model.score(long) == pytest.approx(model.of_cells(ctw.cells(long)), rel=1e-6)
+    texts = spark.createDataFrame([(bytearray(b"abracadabra"),), (bytearray("né".encode()),)], "text binary")
+    counts = ctw.count_corpus(texts).where("cell IS NOT NULL").select("cell", "n")
+    every = counts.select((F.shiftright("cell", 8)).alias("context")).distinct().select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.shiftleft("context", 8).bitwiseOR(b))).alias("cell")
+    )
+    whole = every.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = ctw.cell_logs(whole).groupBy(F.shiftright("cell", 8)).agg(F.sum(F.pow(F.lit(10.0), "log")).alias("total"), F.count("*").alias("n"))
+    assert {(round(r.total, 9), r.n) for r in sums.collect()} == {(1.0, 256)}
+
+
+def test_long_texts_have_the_cells_of_their_pieces():
+    text = bytes(np.random.default_rng(1).integers(0, 255, 10_001).astype(np.uint8))
+    for part in (7, 1000, 10_001, 10_002, 20_000):
+        assert np.array_equal(np.concatenate(list(ctw.text_parts(text, part))), ctw.cells(text))
+
+
+def test_workers_need_no_copy_of_the_package(spark, tmp_path):
+    """A session of its own in a folder without the package; what its workers get has to bring everything along."""
+    import os
+    import subprocess
+    import sys
+
+    table_of(spark, tmp_path / "in", [(i, f"some words {i} and more", "en", "a", 1) for i in range(40)])
+    script = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+import __spark_entry__ as entry
+for name in ("op2_context_tree", "op11_fill_middle", "op12_secret_scan"):
+    print(name, entry.queries()[name](spark, {str(tmp_path / "in")!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    (tmp_path / "elsewhere").mkdir()
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path / "elsewhere", env=env, capture_output=True, text=True, timeout=300)
+    assert [line.split()[1] for line in done.stdout.splitlines() if line.startswith("op")] == ["40"] * 3, done.stderr[-2000:]
 
 
 def test_scores_beat_byte_frequencies_on_held_out_texts(spark, data):
