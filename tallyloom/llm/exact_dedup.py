@@ -60,7 +60,8 @@ def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .withColumnRenamed("at", "idx")
         )
         pairs = stored(pairs, "block-pairs")
-        names = pairs.groupBy("a", "b").agg(F.min("occ").alias("name"))
+        # Stored, so that the join deals both sides anew and a pair that very many texts share can be split.
+        names = stored(pairs.groupBy("a", "b").agg(F.min("occ").alias("name")), "pair-firsts")
         level = stored(pairs.join(names, ["a", "b"]).select(ROW, "n", "idx", "occ", "name"), "pair-names")
         done.append(level.where("n = 1").select(ROW, F.lit(depth).alias("level"), "name"))
     return reduce(DataFrame.unionByName, done).join(heads, ROW)

@@ -28,17 +28,22 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
-RAW = frozenset("script style template noscript iframe svg math canvas object audio video textarea select option title head".split())
+RAW = frozenset("script style template noscript iframe svg canvas object audio video textarea select option title head".split())
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table".split())
 
-# What names of elements, classes and ids say in the language of the web, as counts added to those of the labelled pages.
+# What names of elements, classes and ids say, as counts added to those of the labelled pages: the words of the web, and
+# what German, French and Spanish sites call their parts.
 CONTENT_WORDS = "article main content post entry story body text articlebody"
 OTHER_WORDS = (
     "nav footer header aside form menu menubar navbar navigation breadcrumb breadcrumbs sidebar ad ads advert adverts "
     "advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter "
     "subscribe signup login share sharing social related recommended comment comments reply replies respond disqus "
-    "discussion widget toolbar pagination pager copyright legal disclaimer skip button dialog search"
+    "discussion widget toolbar pagination pager copyright legal disclaimer skip button dialog search "
+    "kommentar kommentare kommentaren leserkommentare leserbriefe antworten werbung anzeige anzeigen reklame fusszeile kopfzeile "
+    "seitenleiste navigationsleiste hinweis teilen verwandt anmelden datenschutz impressum suche "
+    "commentaire commentaires reponses publicite publicites annonce annonces pied barre partager connexion recherche connexes "
+    "comentario comentarios respuestas publicidad anuncio anuncios pie barra lateral compartir relacionados buscar aviso"
 )
 OTHER = frozenset(OTHER_WORDS.split())
 WORD_COUNT = 100.0

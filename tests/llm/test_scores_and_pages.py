@@ -316,3 +316,27 @@ def test_broken_markup_takes_linear_time():
         html_text.TreeModel({}, {}).main_text(source)
     assert time.perf_counter() - start < 30
     assert plain_rows and sentence
+
+
+FOREIGN = {
+    "de": ("leserkommentare", "werbung", "hinweis", "Ein langer Satz über das Wetter, der für sich allein stehen kann."),
+    "fr": ("commentaires", "publicite", "avis-partager", "Une phrase assez longue sur le temps, qui peut rester seule ici."),
+    "es": ("comentarios", "publicidad", "aviso", "Una frase bastante larga sobre el tiempo, que puede quedar sola."),
+    "en": ("comments", "advert", "notice", "A rather long sentence on the weather, which can stand for itself."),
+}
+
+
+def test_parts_named_in_other_languages_and_formulas(spark, data, tmp_path):
+    """The given pages and, among them, pages whose classes have German, French and Spanish names."""
+    rows = []
+    for i, (comments, adverts, notice, text) in enumerate(FOREIGN.values()):
+        html = (
+            f"<html><body><article><h1>Title {i}</h1><p>{text}</p><div class='{adverts}'>buy now</div><p>{text} Let <math><mi>x</mi>"
+            f"<mo>=</mo><mn>2</mn></math> hold.</p><div class='{comments}'><p>well said</p></div><div class='{notice}'>read this</div></article></body></html>"
+        )
+        rows.append((10**6 + i, f"http://x.org/{i}", html))
+    given = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    pages = table_of(spark, tmp_path, [*map(tuple, given.collect()), *rows], "page_id long, url string, html string", "pages")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).where("page_id >= 1000000").collect()}
+    for i, (*_, text) in enumerate(FOREIGN.values()):
+        assert got[10**6 + i] == f"Title {i}\n\n{text}\n\n{text} Let x=2 hold."
