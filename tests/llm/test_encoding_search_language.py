@@ -187,3 +187,68 @@ def test_language_query_agrees_with_held_out_labels(spark, data):
     clear = [r for r in rows if r.accepted]
     assert len(clear) > 0.95 * len(rows)
     assert sum(r.language == r.declared for r in clear) > 0.95 * len(clear)
+
+
+def plain_posteriors(rows, evidence):
+    """The fusion in plain Python, over rows (doc_id, text, lang, source) and doc_id -> (markup, host)."""
+    slots = [language.trigram_slots((r[1] or "").encode()) for r in rows]
+    counts = {}
+    for (_, text, lang, _), s in zip(rows, slots):
+        if lang is not None and text is not None and len(s):
+            counts[lang] = counts.get(lang, 0.5) + np.bincount(s, minlength=language.SLOTS)
+    names = sorted(counts)
+    table = [np.log(counts[k] / counts[k].sum()).astype(np.float32).astype(float) for k in names]
+    places = range(len(names) + 1)
+    logs = [
+        [language.TEMPER * (t[s].sum() if len(s) else 0.0) for t in table] + [-language.TEMPER * len(s) * math.log(language.SLOTS)] for s in slots
+    ]
+    guess = [x.index(max(x)) for x in logs]
+    clear = [i for i, s in enumerate(slots) if len(s)]
+    markup = [evidence.get(r[0], (None, None))[0] for r in rows]
+    address = [evidence.get(r[0], (None, None))[1] for r in rows]
+    host = [a if a is not None else r[3] for a, r in zip(address, rows)]
+    suffix = [a.rsplit(".", 1)[-1].lower() or None if a is not None else None for a in address]
+
+    def given(values, i):
+        if values[i] is None or not any(values[j] == values[i] for j in clear):
+            return [0.0 for _ in places]
+        of = Counter(guess[j] for j in clear if values[j] is not None)
+        n = Counter(guess[j] for j in clear if values[j] == values[i])
+        return [math.log((n[k] + 0.5) / (of[k] + language.SMOOTHING)) for k in places]
+
+    def shares(keys, key, wider):
+        n = Counter(guess[j] for j in clear if keys is None or keys[j] == key)
+        of = sum(n.values())
+        return [(n[k] + language.SMOOTHING * wider[k]) / (of + language.SMOOTHING) for k in places]
+
+    flat = [(1 - language.NONE_PRIOR) / len(names)] * len(names) + [language.NONE_PRIOR]
+    every = shares(None, None, flat)
+    pairs, declared, out = list(zip(host, suffix)), [r[2] for r in rows], []
+    for i in range(len(rows)):
+        total = [a + b + c for a, b, c in zip(logs[i], given(declared, i), given(markup, i))]
+        if any(pairs[j] == pairs[i] for j in clear):
+            total = [t + math.log(p) for t, p in zip(total, shares(pairs, pairs[i], shares(suffix, suffix[i], every)))]
+        best = total.index(max(total))
+        posterior = 1 / sum(math.exp(t - max(total)) for t in total)
+        name = ([*names, "none"][best] if len(slots[i]) else None)
+        out.append((rows[i][0], name, round(posterior, 6), bool(len(slots[i]) and best < len(names) and posterior >= language.LEAST_POSTERIOR)))
+    return Counter(out)
+
+
+def test_posteriors_equal_plain_python(spark, tmp_path):
+    import random
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(90):
+        lang = rnd.choice(["aa", "bb", "cc"])
+        text = rnd.choice([made_up(rnd, lang, rnd.choice([1, 2, 40])), made_up(rnd, rnd.choice(["aa", "bb"]), 3), "", "12 34", "x", None])
+        rows.append((i, text, rnd.choice([lang, lang, None, "bb"]), rnd.choice(["site-a", "site-b", None]), None))
+    rows += [(200, "é" * 40_000 + " long words " * 9000, "cc", "site-a", None), (None, "no id at all", None, None, None), rows[5], rows[5]]
+    pages = [(i, rnd.choice(["aa", "bb", "zz", None]), rnd.choice(["h.aa", "x.h.bb", "h", None])) for i in range(0, 90, 3)]
+    docs = table_of(spark, tmp_path, rows)
+    evidence = spark.createDataFrame(pages, "doc_id long, markup string, host string")
+    got = language.identify(docs, evidence).collect()
+    want = plain_posteriors([r[:4] for r in rows], {i: (m, h) for i, m, h in pages})
+    assert Counter((r.doc_id, r.language, round(r.posterior, 6), r.accepted) for r in got) == want
+    assert {r.accepted for r in got} == {True, False}
