@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 
 from tallyloom.llm.common import bounded_batches
 
-LEAF_CHARS = 2048
-LEAF_BYTES = 512
+# Leaves are short, so that nearly every text is put together by joins; the library sees no more than a leaf or a window.
+LEAF_CHARS = 256
+LEAF_BYTES = 64
 FIRST_WINDOW = 32
 
 
