@@ -24,7 +24,7 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 39
 
 # Members of a bucket, and shingles of theirs, that are compared within one Python call; smaller buckets go into a join.
-CHUNK = 512
+CHUNK = 256
 CHUNK_SHINGLES = 1 << 20
 SMALL_BUCKET = 16
 
