@@ -27,7 +27,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def with_rows(docs: DataFrame, name: str = ROW) -> DataFrame:
     """Adds an integer that tells rows apart even if ids are null or repeated.
 
-    It follows from the scan partition and the place in it, so two scans of the same stored table agree.
+    It follows from the scan partition and the place in it, so two scans of the same stored table agree. So operators that
+    number their rows take a table as it was stored, with no more than a projection on top; store other inputs first.
     """
     return docs.withColumn(name, F.monotonically_increasing_id())
 

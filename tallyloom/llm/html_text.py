@@ -341,7 +341,8 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     Character references are decoded, white space within a block becomes one blank. Null and empty pages have an empty
     text; broken markup is read as far as it goes; ids may be null or repeated; an empty table gives no rows. Without any
-    page that declares its article, the model rests on what the names of elements, classes and ids say.
+    page that declares its article, the model rests on what the names of elements, classes and ids say. Only page_id, url and
+    html are read, so no other column can clash.
     """
     model = fit(pages, fit_pages)
     sent = pages.sparkSession.sparkContext.broadcast((model.pair, model.ratio))

@@ -14,7 +14,7 @@ SCALE = 256
 
 # Rows whose lists one task holds, and queries it runs over them.
 BLOCK_ROWS = 1024
-QUERY_ROWS = 1024
+QUERY_ROWS = 8192
 
 # Each round reads this part of the lists.
 ROUNDS = 16
@@ -97,7 +97,7 @@ def top_inner_products(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY)
     """``query_id, rank, vec_id, score``: for each row whose vec_id is divisible by ``every`` its ``k`` best other rows.
 
     Components become floor(256 * x); scores are exact integers (kept within the range of a long). Ties go to the
-    smaller vec_id, null ids last. Vectors that are null or hold null, NaN or infinite components take no part; shorter
+    smaller vec_id, null ids last. Only vec_id and embedding are read, so no other column can clash. Vectors that are null or hold null, NaN or infinite components take no part; shorter
     vectors count as filled up with zeros. Repeated ids are rows of their own. An empty table gives no rows.
 
     Rows are dealt into blocks by hash, queries into blocks as well, and each pair of blocks is searched by itself with

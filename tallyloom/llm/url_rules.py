@@ -81,8 +81,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULE
     is the highest confidence of such rules, null if there is none. Mined rules conclude ``bad`` (toxic, or low quality)
     from the labels of pages whose address ends in a labelled document's number.
 
-    Null urls and urls without ``://`` have an empty host and path and no tokens. Ids may be null or repeated; an empty
-    table gives no rows; without labels nothing is mined and the method allows.
+    Null urls and urls without ``://`` have an empty host and path and no tokens. Urls of any length are read whole; a long
+    one has more tokens. Of rules of equal confidence any gives the same verdict and ``fired``. Ids may be null or
+    repeated; an empty table gives no rows; without labels nothing is mined and the method allows. Only page_id and url,
+    and doc_id, quality and toxic of the labels, are read, so no other column can clash.
     """
     host, path = host_and_path(F.col("url"))
     rows = with_rows(pages.select("page_id", "url")).select(ROW, "page_id", "url", host.alias("host"), path.alias("path"))
