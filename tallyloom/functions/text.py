@@ -54,7 +54,7 @@ def call_style_prints(text: Column) -> Column:
 
 def python3_shebang(text: Column) -> Column:
     """Point an ``env python`` or ``env python2`` interpreter on the first line to python3."""
-    return F.regexp_replace(text, r"\A([^\n]*?/usr/bin/env python)2?(?![0-9])", "$1" + "\\3")
+    return F.regexp_replace(text, r"\A([^\n]*?/usr/bin/env python)2?(?![0-9])", r"$1\3")
 
 
 def escape_quotes(text: Column) -> Column:

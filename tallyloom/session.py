@@ -44,7 +44,7 @@ def build_session(app: str = "tallyloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder; on a cluster the setting is required.
+    Only a master within this process may fall back to a temporary folder; elsewhere the setting is required.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
     return sc.getCheckpointDir()
