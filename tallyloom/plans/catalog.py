@@ -336,6 +336,16 @@ def input_files(spark, folder):
     return files.list_files(spark, folder, "*.parquet").orderBy("source_file")
 
 
+@registered
+def written_sizes(spark, folder):
+    """Write the texts into a folder per language, then list the files in order and add up their bytes per folder."""
+    path = scratch_path(spark, "texts")
+    texts = table(spark, folder, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
+    texts.write.partitionBy("lang").text(path)
+    lang = F.regexp_extract("source_file", r"/lang=([^/]*)/[^/]*$", 1).alias("lang")
+    return files.list_files(spark, path).groupBy(lang).agg(F.sum("bytes").alias("bytes")).orderBy("lang")
+
+
 # Features and models
 
 

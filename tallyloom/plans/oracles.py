@@ -394,6 +394,10 @@ ORACLES["one_hot"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS f0,
     CAST(l_returnflag = 'A' AS DOUBLE) AS f1, CAST(l_returnflag = 'N' AS DOUBLE) AS f2 FROM lineitem"""
 
+ORACLES["written_sizes"] = """
+SELECT coalesce(lang, 'none') AS lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY coalesce(lang, 'none')"""
+
 ORACLES["one_hot_wide"] = """
 WITH known AS (
     SELECT c, CAST(row_number() OVER (ORDER BY c) AS INTEGER) AS place
