@@ -337,6 +337,8 @@ def _pass(binned: Binned, lattice: _Lattice, asks: dict[int, list[int]], rules:
 
     # A node has at most one cell per feature and slot here.
     picked = summed.groupBy("node").applyInArrow(choose, ", ".join(f"{n} long" for n in _SPLIT_NAMES)).toArrow()
+    sent.destroy()
+    told.destroy()
     return list(zip(*[picked.column(n).to_pylist() for n in _SPLIT_NAMES]))
 
 

@@ -6,6 +6,7 @@ The driver holds parameter draws, trees and one score per fit.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from typing import Any, NamedTuple
@@ -101,7 +102,8 @@ def random_search(
     grown = forests.grow(binned, fits, seed)
     judged = [(grown[i * (folds + 1) + out], frozenset([out])) for i in range(draws) for out in range(folds)]
     scores = forests.rmse_of(binned, *zip(*judged))
-    means = [sum(scores[i * folds:(i + 1) * folds]) / folds for i in range(draws)]
+    measured = [[x for x in scores[i * folds:(i + 1) * folds] if not math.isnan(x)] for i in range(draws)]  # a fold may be empty
+    means = [sum(found) / len(found) for found in measured]
     best = min(range(draws), key=means.__getitem__)
     trace = train.sparkSession.createDataFrame(list(enumerate(means)), "iter INT, score DOUBLE")
     return SearchResult(grown[best * (folds + 1) + folds], candidates[best], means[best], trace)

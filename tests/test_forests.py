@@ -191,5 +191,7 @@ def test_awkward_rows(spark):
     assert {r.prediction for r in forest.transform(train).collect()} == {5.0}
     one = models.fit_forest(train.where("id = 2"), ["id"], {"numTrees": 2})
     assert {r.prediction for r in one.transform(train).collect()} == {5.0}
+    few = models.random_search(train.where("id IN (2, 3)"), ["id"], draws=2, folds=9, trees=[2], depths=[2])
+    assert few.score == 0.0 and few.trace.count() == 2  # most folds are empty
     with pytest.raises(ValueError, match="no training rows"):
         models.fit_forest(train.where("label < 0"), ["id"])
