@@ -59,3 +59,32 @@ def test_rules_of_equal_confidence_and_long_urls(spark, tmp_path):
     got = {r.page_id: (r.verdict, r.fired) for r in url_rules.judge_urls(pages, labels).collect()}
     assert {got[i] for i in range(60)} == {("block", 1.0)} and {got[i] for i in range(60, 120)} == {("allow", None)}
     assert got[1000] == ("block", 1.0) and got[1001] == ("allow", None)
+
+
+def test_mined_rules_are_all_rules_that_pass(spark):
+    """Against an enumeration of all token sets: support and confidence of each, and the rarest token as the key."""
+    import itertools
+    import random
+    from collections import Counter
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(300):
+        bad = rnd.random() < 0.3
+        tokens = {t for t in "abcdef" if rnd.random() < (0.6 if bad and t in "ab" else 0.25)} | ({"always"} if i % 50 else set())
+        rows.append((i, sorted(tokens), bad))
+    labelled = spark.createDataFrame(rows, "_row long, tokens array<string>, bad boolean")
+    got = {tuple(sorted(r.tokens)): r for r in url_rules.mine_rules(labelled, 0.03, 0.4).collect()}
+    n = sum(bool(t or bad) for _, t, bad in rows)
+    single = Counter(t for _, tokens, _ in rows for t in tokens)
+    want = {}
+    for k in range(1, 8):
+        for chosen in itertools.combinations(["a", "always", "b", "c", "d", "e", "f"], k):
+            met = [bad for _, tokens, bad in rows if set(chosen) <= set(tokens)]
+            if sum(met) >= 0.03 * n and sum(met) >= 0.4 * len(met):
+                want[chosen] = sum(met) / n, sum(met) / len(met)
+    assert len(want) > 5 and set(got) == set(want)
+    for chosen, (support, confidence) in want.items():
+        r = got[chosen]
+        assert (r.support, r.confidence) == (pytest.approx(support), pytest.approx(confidence))
+        assert r.rarest == min(chosen, key=lambda t: (single[t], t))

@@ -41,6 +41,25 @@ def test_best_fit_decreasing():
     assert Counter(best_fit_into([5] * 32, 4)) == {0: 8, 1: 8, 2: 8, 3: 8}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_fullest_bin_is_near_the_optimum(seed):
+    """Against all ways to deal a few items: the fullest bin holds at most 13/11 of what the best way needs."""
+    import itertools
+    import random
+
+    rnd = random.Random(seed)
+    for _ in range(12):
+        sizes = sorted((rnd.choice([rnd.randint(1, 9), rnd.randint(1, 99)]) for _ in range(rnd.randint(1, 8))), reverse=True)
+        shards = rnd.randint(1, 3)
+        load = Counter()
+        for size, bin_ in zip(sizes, best_fit_into(sizes, shards)):
+            load[bin_] += size
+        best = min(
+            max(sum(s for s, b in zip(sizes, way) if b == k) for k in range(shards)) for way in itertools.product(range(shards), repeat=len(sizes))
+        )
+        assert best <= max(load.values()) <= best * 13 / 11 + 1
+
+
 def test_shards_hold_all_rows_and_whole_groups(docs):
     rows = shard_documents(docs, 4).collect()
     given = docs.collect()
