@@ -73,6 +73,23 @@ def running_min(
     return scanned.select(*df.columns, out)
 
 
+def running_sums(
+    df: DataFrame, values: dict[str, str], order: Sequence[str], by: Sequence[str] = (), blocks: Sequence[str] = (),
+    block_rows: int | None = None, one_task: bool | None = None,
+) -> DataFrame:
+    """For each ``out: value`` the sum so far per group, the row itself included."""
+    if fits_one_task(df) if one_task is None else one_task:
+        so_far = Window.partitionBy(*by).orderBy(*blocks, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(value).over(so_far).alias(out) for out, value in values.items()])
+    keyed = _keyed(df, by, blocks, order, block_rows)
+    before = Window.partitionBy("_key.group").orderBy("_key.block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy("_key").agg(*[F.sum(value).alias(out) for out, value in values.items()])
+    carry = totals.select("_key", *[F.coalesce(F.sum(out).over(before), F.lit(0)).alias(f"_carry_{out}") for out in values])
+    so_far = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = [(F.sum(value).over(so_far) + F.col(f"_carry_{out}")).alias(out) for out, value in values.items()]
+    return keyed.join(carry, "_key").select(*df.columns, *summed)
+
+
 def last_record(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Last row per group: an aggregate with map-side combine, not a window."""
     picked = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.scalars import memory_gb, overhead_gb, request_gb
+from tallyloom.operators.ordered import running_sums
 
 
 def worker_totals(workers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -73,3 +74,25 @@ def preflight(requests: DataFrame, workers: DataFrame, by: Sequence[str] = ()) -
     ).withColumn(
         "worker_fit", F.when(F.col("verdict").isin("ok", "reject"), F.col("fitting") >= F.col("executors"))
     )
+
+
+def competing_requests(verdicts: DataFrame, key: str, by: Sequence[str] = (), one_task: bool | None = None) -> DataFrame:
+    """Which requests of a preflight the workers can serve together: ``share, used_cores, used_gb, granted``.
+
+    Requests are served in the order of their dominant share, the larger of their shares of all cores and of all memory, then
+    of ``key``; so most requests are served. ``used_*`` is what a request and those before it take, and a request is granted
+    if that is within the totals; later ones are larger and do not overtake. Requests whose own verdict is not ``ok`` or
+    that do not fit exactly take nothing. Memory is added in thousandths of a gigabyte, so sums are exact.
+    """
+    alone = (F.col("verdict") == "ok") & F.col("exact_fit")
+    share = F.greatest(F.col("req_cores") / F.nullif("sum_cores", F.lit(0)), F.col("req_mem_gb") / F.nullif("sum_mem_gb", F.lit(0)))
+    rows = verdicts.select(
+        "*", F.round(share, 9).alias("share"), F.when(alone, F.col("req_cores")).otherwise(0).alias("_cores"),
+        F.when(alone, F.ceil(F.round(F.col("req_mem_gb") * 1000, 3)).cast("bigint")).otherwise(0).alias("_gb"),
+    )
+    used = running_sums(rows, {"used_cores": "_cores", "_used_gb": "_gb"}, ["share", key], by, one_task=one_task)
+    within = (F.col("used_cores") <= F.col("sum_cores")) & (F.col("_used_gb") <= F.col("sum_mem_gb") * 1000)
+    return used.select(
+        *verdicts.columns, "share", "used_cores", (F.col("_used_gb") / 1000).alias("used_gb"),
+        F.coalesce(alone & within, F.lit(False)).alias("granted"),
+    )

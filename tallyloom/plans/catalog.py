@@ -321,6 +321,14 @@ def resource_preflight(spark, folder):
     )
 
 
+@registered
+def resource_competition(spark, folder):
+    """Which of the requests to a cluster it can serve together."""
+    verdicts = resources.preflight(fixtures.requests(spark, folder), fixtures.workers(spark, folder), ["cluster"])
+    served = resources.competing_requests(verdicts, "p_partkey", ["cluster"])
+    return served.select("p_partkey", "cluster", "share", "used_cores", F.round("used_gb", 3).alias("used_gb"), "granted")
+
+
 @registered
 def resource_totals(spark, folder):
     return resources.worker_totals(fixtures.workers(spark, folder))

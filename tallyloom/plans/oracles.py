@@ -348,6 +348,27 @@ workers AS (
     FROM supplier
 )"""
 
+ORACLES["resource_competition"] = f"""
+WITH {WORKERS},
+totals AS (
+    SELECT cluster, CAST(sum(cores) AS BIGINT) AS sum_cores, CAST(sum(gb) AS BIGINT) AS sum_mem_gb, count(*) - count(gb) AS unknown_workers
+    FROM workers GROUP BY cluster),
+req AS (
+    SELECT p_partkey, CAST(p_partkey % 25 AS INTEGER) AS cluster, CAST((p_size % 4 + 1) * (p_size % 3 + 1) AS BIGINT) AS cores,
+        (p_size % 4 + 1) * ((p_size % 8 + 1) + greatest(CAST(0.384 AS DOUBLE), CAST(0.1 AS DOUBLE) * (p_size % 8 + 1))) AS mem
+    FROM part),
+each AS (
+    SELECT *, round(greatest(cores / nullif(sum_cores, 0), mem / nullif(sum_mem_gb, 0)), 9) AS share,
+        coalesce(unknown_workers = 0 AND cores <= sum_cores AND mem <= sum_mem_gb, false) AS alone
+    FROM req LEFT JOIN totals USING (cluster)),
+used AS (
+    SELECT *, CAST(sum(CASE WHEN alone THEN cores ELSE 0 END) OVER w AS BIGINT) AS used_cores,
+        CAST(sum(CASE WHEN alone THEN CAST(ceil(round(mem * 1000, 3)) AS BIGINT) ELSE 0 END) OVER w AS BIGINT) AS used_mb
+    FROM each WINDOW w AS (PARTITION BY cluster ORDER BY share NULLS FIRST, p_partkey ROWS UNBOUNDED PRECEDING))
+SELECT p_partkey, cluster, share, used_cores, round(used_mb / 1000, 3) AS used_gb,
+    coalesce(alone AND used_cores <= sum_cores AND used_mb <= sum_mem_gb * 1000, false) AS granted
+FROM used"""
+
 ORACLES["resource_preflight"] = f"""
 WITH {WORKERS},
 totals AS (

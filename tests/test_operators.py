@@ -241,6 +241,26 @@ def test_one_hot_unseen_and_missing_are_zero(spark):
     assert [r.features.toArray().tolist() for r in encoded] == [[1, 1, 0], [2, 0, 1], [3, 0, 0], [4, 0, 0]]
 
 
+@pytest.mark.parametrize("one_task", [True, False])
+def test_competing_requests_against_a_loop(spark, one_task):
+    rng = random.Random(9)
+    workers = spark.createDataFrame([(c, rng.randint(1, 8), rng.choice(["4G", "8g", "16GB"])) for c in (1, 2) for _ in range(5)] + [(3, 4, "4096M")], "cluster INT, cores INT, memory STRING")
+    asked = [(i, rng.choice([1, 1, 2, 3, 4]), rng.randint(1, 4), rng.randint(1, 3), rng.randint(1, 6)) for i in range(120)]
+    requests = spark.createDataFrame(asked, "id LONG, cluster INT, executors INT, executor_cores INT, executor_memory_gb INT")
+    verdicts = resources.preflight(requests, workers, ["cluster"])
+    got = {r.id: r for r in resources.competing_requests(verdicts, "id", ["cluster"], one_task=one_task).collect()}
+    alone, granted = {r.id: r for r in verdicts.collect()}, set()
+    for cluster in (1, 2, 3, 4):
+        cores = gb = 0
+        mine = [r for r in alone.values() if r.cluster == cluster and r.verdict == "ok" and r.exact_fit]
+        for r in sorted(mine, key=lambda r: (round(max(r.req_cores / r.sum_cores, r.req_mem_gb / r.sum_mem_gb), 9), r.id)):
+            cores, gb = cores + r.req_cores, gb + r.req_mem_gb
+            if cores <= r.sum_cores and gb <= r.sum_mem_gb + 1e-9:
+                granted.add(r.id)
+            assert got[r.id].used_cores == cores and abs(got[r.id].used_gb - gb) < 1e-6
+    assert {i for i, r in got.items() if r.granted} == granted and 5 < len(granted) < 60 and len(got) == 120
+
+
 def test_sparse_one_hot_equals_the_encoder(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda n: rng.choice([None, *(f"c{i}" for i in range(n))])

@@ -41,7 +41,7 @@ def test_entry(spark):
 
 SIZED = [
     "wc_words", "runs_enriched", "runs_numbered", "run_stats", "log_stats", "agg_rows", "speedup_top20", "dummy_metrics",
-    "metrics_wide", "best_so_far", "eventlog_rollup",
+    "metrics_wide", "best_so_far", "eventlog_rollup", "resource_competition",
 ]
 
 
