@@ -69,11 +69,14 @@ def stored_percentiles(spark: SparkSession, store: str, percents: Mapping[str, f
     known = wanted.where("lo = hi").select(*by, F.col("lo").alias("_v"), "n", "c", F.col("below").alias("first"))
     mixed = wanted.where("lo < hi").select(*by, "slot", "below", "n")
     octaves = [r[0] for r in mixed.select(_octave(F.col("slot"))).distinct().collect()]
-    values = spark.read.parquet(f"{store}/values").where(F.col("octave").isin(octaves) & F.col("batch").isin(batches))
-    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*by, "slot"]]
-    opened = values.alias("v").join(mixed.alias("m"), same).select("m.*", "v._v", "v.c")
-    counted = opened.groupBy(*by, "slot", "below", "n", "_v").agg(F.sum("c").alias("c"))
-    ranked = counted.select(*by, "_v", "n", "c", _cumulated(counted, [*by, "slot"], "_v")(F.col("below")).alias("first"))
+    ranked = known
+    if octaves:
+        values = spark.read.parquet(f"{store}/values").where(F.col("octave").isin(octaves) & F.col("batch").isin(batches))
+        same = [F.col(f"v.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*by, "slot"]]
+        opened = values.alias("v").join(mixed.alias("m"), same).select("m.*", "v._v", "v.c")
+        counted = opened.groupBy(*by, "slot", "below", "n", "_v").agg(F.sum("c").alias("c"))
+        first = _cumulated(counted, [*by, "slot"], "_v")(F.col("below")).alias("first")
+        ranked = known.unionByName(counted.select(*by, "_v", "n", "c", first))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("first")) & (rank < F.col("first") + F.col("c")), F.col("_v")))
@@ -81,7 +84,7 @@ def stored_percentiles(spark: SparkSession, store: str, percents: Mapping[str, f
     pieces = []
     for i, p in enumerate(percents.values()):
         pieces += [at(F.floor(position(p))).alias(f"_low{i}"), at(F.ceil(position(p))).alias(f"_high{i}")]
-    found = ranked.unionByName(known).groupBy(*by).agg(F.max("n").alias("n"), *pieces)
+    found = ranked.groupBy(*by).agg(F.max("n").alias("n"), *pieces)
     columns = []
     for i, (name, p) in enumerate(percents.items()):
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")

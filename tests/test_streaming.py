@@ -127,6 +127,15 @@ def test_stored_percentiles_equal_the_batch_form_after_every_batch(spark, tmp_pa
     assert {r.g: tuple(r)[2:] for r in again.collect()} == got
 
 
+def test_batches_without_values(spark, tmp_path):
+    store, none = str(tmp_path / "store"), spark.createDataFrame([("a", None), ("b", float("nan"))], "g STRING, v DOUBLE")
+    percentiles.add_batch(none, 0, store, "v", ["g"])
+    assert percentiles.stored_percentiles(spark, store, PERCENTS, ["g"]).count() == 0
+    percentiles.add_batch(spark.createDataFrame([("a", 2.0), ("a", 2.5)], "g STRING, v DOUBLE"), 1, store, "v", ["g"])
+    percentiles.add_batch(none, 2, store, "v", ["g"])
+    assert [tuple(r) for r in percentiles.stored_percentiles(spark, store, {"p50": 0.5}, ["g"]).collect()] == [("a", 2, 2.25)]
+
+
 def test_rank_queries_open_only_the_octaves_they_need(spark, tmp_path):
     store = str(tmp_path / "store")
     frame = spark.range(4000).select(F.pow(F.lit(2.0), F.col("id") / 200).alias("v"))  # twenty octaves
