@@ -37,6 +37,9 @@ LABEL_BITS = 28
 ROWS_AT_ONCE = 1 << 17
 CELLS_AT_ONCE = 1 << 23
 
+# The nodes of a pass are dealt into so many parts, whose splits are picked side by side.
+PARTS = 64
+
 # A row is in a tree 0, 1, 2.. times, as in a sample with replacement: quantiles of the Poisson distribution with mean 1.
 _DRAWS = 1 << 16
 _STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
@@ -326,17 +329,20 @@ def _pass(binned: Binned, lattice: _Lattice, asks: dict[int, list[int]], rules:
     def choose(table: pa.Table) -> pa.Table:
         asked, rule_list = told.value
         node, f, slot, n, s = (table.column(c).to_numpy() for c in ("node", "feature", "slot", "n", "s"))
-        shape = (width, classes * BINS)
-        count, total = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        count[f, slot], total[f, slot] = n, s
-        order, rules = asked[int(node[0])]
-        split = (width, classes, BINS)
-        best = best_splits(count.reshape(split), total.reshape(split), order, [_Rule(*rule_list[r]) for r in rules])
-        rows = [(int(node[0]), r, *b) for r, b in zip(rules, best)]
+        split, rows = (width, classes, BINS), []
+        by_node = np.argsort(node, kind="stable")
+        for at in np.split(by_node, np.flatnonzero(np.diff(node[by_node])) + 1):
+            count, total = np.zeros((width, classes * BINS), np.int64), np.zeros((width, classes * BINS), np.int64)
+            count[f[at], slot[at]], total[f[at], slot[at]] = n[at], s[at]
+            name = int(node[at[0]])
+            order, numbers = asked[name]
+            best = best_splits(count.reshape(split), total.reshape(split), order, [_Rule(*rule_list[r]) for r in numbers])
+            rows += [(name, r, *b) for r, b in zip(numbers, best)]
         return pa.table([pa.array(c) for c in zip(*rows)], names=_SPLIT_NAMES).cast(_SPLIT_TYPES)
 
-    # A node has at most one cell per feature and slot here.
-    picked = summed.groupBy("node").applyInArrow(choose, ", ".join(f"{n} long" for n in _SPLIT_NAMES)).toArrow()
+    # A node has at most one cell per feature and slot here, so a part has at most a part of the cells of a pass.
+    parts = summed.withColumn("part", F.pmod("node", F.lit(PARTS)))
+    picked = parts.groupBy("part").applyInArrow(choose, ", ".join(f"{n} long" for n in _SPLIT_NAMES)).toArrow()
     sent.destroy()
     told.destroy()
     return list(zip(*[picked.column(n).to_pylist() for n in _SPLIT_NAMES]))
