@@ -60,7 +60,8 @@ def merge_rows(
         touched = [r.bucket for r in best.select("bucket").distinct().collect()]
         both = before.where(F.col("bucket").isin(touched)).unionByName(best, allowMissingColumns=True)
         best = best_per_key(both, keys, score, ties)
-    best.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/best/version={number}")
+    # One file per part, so that versions stay few files.
+    best.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/best/version={number}")
 
 
 def keep_collection(
