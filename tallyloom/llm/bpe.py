@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -129,11 +130,13 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool
                 by_ids.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 by_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))  # a batch of Python integers would take nine times the room
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())]
             names_out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names_out = [*columns, pa.array(all_ids, pa.list_(pa.int32()))], [*names_out, "ids"]
+                offsets = pa.array(np.cumsum([0, *map(len, all_ids)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *all_ids])))
+                columns, names_out = [*columns, lists], [*names_out, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(encode, schema)

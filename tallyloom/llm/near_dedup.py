@@ -36,7 +36,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 class _WordHashes(dict):
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
