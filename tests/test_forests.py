@@ -195,3 +195,74 @@ def test_awkward_rows(spark):
     assert few.score == 0.0 and few.trace.count() == 2  # most folds are empty
     with pytest.raises(ValueError, match="no training rows"):
         models.fit_forest(train.where("label < 0"), ["id"])
+
+
+def test_rows_of_equal_bins_are_grouped(spark, rows, monkeypatch):
+    copies = rows.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).select(
+        (F.col("copy") * 10_000 + F.col("id")).alias("id"), "features", (F.col("label") + F.col("copy") / 8).alias("label")
+    )
+    binned = forests.bin_rows(copies, ["id"], features.fold_of(["id"], 3), 3)
+    grouped = forests.grouped(binned, 2, 5)
+    plain = binned.rows.count()
+    for tree in (-1, 0, 1):  # tree -1 counts every row once
+        part = grouped.groups.rows.where(F.col("tree") == tree)
+        local = local_rows(binned)
+        bag = np.ones(plain, int) if tree < 0 else forests.bag_weights(local[0], tree, 5).astype(int)
+        found = part.agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("groups")).first()
+        assert (found.n, found.y) == (bag.sum(), (bag * local[2]).sum()) and found.groups * 10 < plain
+    fits = [fit for fit in FITS if fit.trees == 2]
+    with_groups = forests.grow(grouped, fits, seed=5)
+    monkeypatch.setattr(forests, "ROWS_AT_ONCE", 1000)  # groups cut at the ends of pieces add up
+    for other in (forests.grow(binned, fits, seed=5), forests.grow(forests.grouped(binned, 2, 5), fits, seed=5)):
+        for a, b in zip(with_groups, other):
+            assert all(np.array_equal(x, y) for s, t in zip(a.trees, b.trees) for x, y in zip(s, t))
+    scored = [frozenset([0]), frozenset([1, 2]), frozenset([2])]
+    assert forests.rmse_of(grouped, with_groups, scored) == pytest.approx(forests.rmse_of(binned, with_groups, scored), rel=1e-10)
+    # Groups of other bags are left aside.
+    for a, b in zip(forests.grow(binned, fits[:1], seed=6), forests.grow(grouped, fits[:1], seed=6)):
+        assert all(np.array_equal(x, y) for s, t in zip(a.trees, b.trees) for x, y in zip(s, t))
+    assert forests.grouped(binned, 1000, 5).groups is None  # more sums than rows
+
+
+def test_searches_read_groups_instead_of_rows(spark, rows, monkeypatch):
+    """The rows that passes and scores read follow the combinations of bins, not the copies."""
+    read, one_pass, score = [], forests._pass, forests.rmse_of
+    size = lambda binned: (binned.groups.rows.where("tree = 0") if getattr(binned, "groups", None) else binned.rows).count()
+    monkeypatch.setattr(forests, "_pass", lambda binned, *more: read.append(size(binned)) or one_pass(binned, *more))
+    monkeypatch.setattr(forests, "rmse_of", lambda binned, *more: read.append(size(binned)) or score(binned, *more))
+    copies = rows.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).select(
+        (F.col("copy") * 10_000 + F.col("id")).alias("id"), "features", "label"
+    )
+    models.random_search(copies, ["id"], draws=2, folds=2, trees=[2], depths=[2])
+    assert len(read) == 3 and max(read) < 1500 * 20 / 5
+
+
+def test_sums_of_groups_are_exact():
+    values = np.array([(1 << 57) + 1, -(1 << 57) + 3, (1 << 54) + 1, -5, 7, (1 << 53) + 1], np.int64)
+    assert forests._sums(np.array([0, 2, 0, 2, 3, 3]), values, 5).tolist() == [
+        (1 << 57) + (1 << 54) + 2, 0, -(1 << 57) - 2, (1 << 53) + 8, 0
+    ]
+
+
+def test_arrays_and_many_features_give_the_same_bins(rows, binned, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    arrays = rows.withColumn("features", vector_to_array("features"))
+    monkeypatch.setattr(forests, "AGGREGATES_AT_ONCE", 2)
+    other = forests.bin_rows(arrays, ["id"], features.fold_of(["id"], 3), 3)
+    assert all(np.array_equal(a, b) for a, b in zip(binned.edges, other.edges))
+    assert sorted(map(tuple, binned.rows.collect())) == sorted(map(tuple, other.rows.collect()))
+    forest = forests.grow(binned, FITS[:1], seed=1)[0]
+    got = [{r.id: r.prediction for r in forest.transform(frame).collect()} for frame in (rows, arrays)]
+    assert got[0] == got[1] and len(got[0]) == 1500
+
+
+def test_plain_expressions_equal_the_encoder(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    data = [(1, 2.5, "A"), (2, None, "N"), (3, -1.0, None), (4, 0.0, "N"), (5, 7.0, "unseen"), (None, 1.0, "B")]
+    frame = spark.createDataFrame(data, "a INT, b DOUBLE, c STRING")
+    model = features.fit_encoder(frame.where("c IS NULL OR c <> 'unseen'"), ["a", "b"], ["c"])
+    both = model.transform(frame).select(vector_to_array("features").alias("x"), features.encoded_values(model, ["a", "b"], ["c"]).alias("y"))
+    rows = both.collect()
+    assert len(rows) == 6 and all(np.array_equal(r.x, r.y, equal_nan=True) and len(r.y) == 5 for r in rows)
