@@ -9,7 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from tallyloom.operators import features, forests, models
+from tallyloom.operators import deep_forests, features, forests, models
+from tallyloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -266,3 +267,83 @@ def test_plain_expressions_equal_the_encoder(spark):
     both = model.transform(frame).select(vector_to_array("features").alias("x"), features.encoded_values(model, ["a", "b"], ["c"]).alias("y"))
     rows = both.collect()
     assert len(rows) == 6 and all(np.array_equal(r.x, r.y, equal_nan=True) and len(r.y) == 5 for r in rows)
+
+
+DEEP = [
+    forests.Fit(frozenset([0, 1]), 2, 21, 1, 2, 3), forests.Fit(frozenset([0, 1]), 3, 12, 1, 9, 2), forests.Fit(frozenset([0, 1]), 2, 9, 3, 2, 2),
+    forests.Fit(frozenset([0, 2]), 3, 15, 7, 11, 3), forests.Fit(frozenset([0, 2]), 1, 3, 2, 2, 3), forests.Fit(frozenset([0, 2]), 3, 20, 2, 5, 3),
+    forests.Fit(frozenset([0, 2]), 2, 0, 1, 2, 1), forests.Fit(frozenset([1, 2]), 2, 6, 5, 10_000, 2), forests.Fit(frozenset([1, 2]), 2, 21, 90, 2, 2),
+]
+
+
+@pytest.mark.parametrize("most_rows", [1 << 20, 1000])
+def test_trees_grown_in_tasks_equal_those_of_passes(spark, rows, monkeypatch, most_rows):
+    """Trees and scores of whole trees in tasks, which read rows or groups of them."""
+    copies = rows.where("id < 400").crossJoin(spark.range(3).withColumnRenamed("id", "copy")).select(
+        (F.col("copy") * 10_000 + F.col("id")).alias("id"), "features", (F.col("label") + F.col("copy") / 8).alias("label")
+    )
+    binned = forests.bin_rows(copies, ["id"], features.fold_of(["id"], 3), 3)
+    monkeypatch.setattr(deep_forests, "ROWS_PER_TASK", most_rows)
+    held = deep_forests.holds(binned, 3, 5)
+    assert (held.groups is None) == (most_rows > 1200)
+    wanted = forests.grow(binned, DEEP, seed=5)
+    scored = [next(k for k in range(3) if k not in fit.classes) for fit in DEEP]
+    assert deep_forests.scores(held, DEEP, scored, 5) == pytest.approx(forests.rmse_of(binned, wanted, [frozenset([k]) for k in scored]), rel=1e-10)
+    for fit, forest in list(zip(DEEP, wanted))[:6:2]:
+        stored = deep_forests.grow(held, fit, 5)
+        assert all(np.array_equal(x, y) for s, t in zip(stored.trees, forest.trees, strict=True) for x, y in zip(s, t))
+        monkeypatch.setattr(deep_forests, "TREES_AT_ONCE", 2)
+        monkeypatch.setattr(deep_forests, "CELLS_AT_ONCE", 100)
+        got, want = ({r.id: r.prediction for r in f.transform(copies).collect()} for f in (stored, forest))
+        assert got == pytest.approx(want, rel=1e-12) and len(got) == 1200
+    monkeypatch.setattr(deep_forests, "ROWS_PER_TASK", 10)
+    assert deep_forests.holds(binned, 1000, 5) is None  # too many rows and groups for a task
+
+
+def test_a_search_is_the_same_in_tasks_and_by_passes(rows, monkeypatch):
+    space = {"trees": [2, 3], "depths": [3, 6]}
+    by_passes = models.random_search(rows, ["id"], draws=3, folds=3, seed=4, **space)
+    monkeypatch.setattr(forests, "DRIVER_NODES", 0)
+    in_tasks = models.random_search(rows, ["id"], draws=3, folds=3, seed=4, **space)
+    assert in_tasks.params == by_passes.params
+    scores = [[r.score for r in found.trace.orderBy("iter").collect()] for found in (in_tasks, by_passes)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+    assert all(np.array_equal(x, y) for s, t in zip(in_tasks.model.trees, by_passes.model.trees, strict=True) for x, y in zip(s, t))
+    few = rows.where("id IN (2, 3)")
+    assert len(models.random_search(few, ["id"], draws=2, folds=9, trees=[2], depths=[2]).model.trees) == 2  # with empty folds
+
+
+def test_feature_order_is_that_of_a_sample():
+    for width, box in ((1, ()), (3, ((0, 3, 12),)), (7, ((1, 0, 5), (6, 2, 31))), (40, ()), (300, ((250, 0, 1),))):
+        want = random.Random(f"5|{width}|{box}").sample(range(width), width)
+        assert forests.feature_order(5, width, box, width) == want and forests.feature_order(5, width, box, width, 2) == want[:2]
+
+
+def test_sums_beyond_a_double_are_exact():
+    """A tree of cells whose label sums need more than 53 bits, by whole numbers and by the same numbers in Python."""
+    n, s = np.array([4, 5, 6, 7]), np.array([(1 << 57) + 1, -(1 << 57) + 3, (1 << 55) + 1, -5])
+    grown = deep_forests.grow_nodes(np.array([[0, 1, 2, 3]], np.uint8), np.arange(4), n, s, 0, 0, 1, [1], [1], [2])
+    cut = int(grown.cut[0][0])
+    assert grown.rows.tolist() == [22, sum(n[: cut + 1]), sum(n[cut + 1 :])]
+    assert grown.total.tolist() == [sum(map(int, s)), sum(map(int, s[: cut + 1])), sum(map(int, s[cut + 1 :]))]
+
+
+def test_registered_search_draws_from_the_full_space(spark, tmp_path, monkeypatch):
+    """All draws of the query come from the full space, and its model has all trees of the best one."""
+    item = F.pmod(F.xxhash64("l_orderkey"), F.lit(1000))
+    spark.range(120).select(
+        F.col("id").alias("l_orderkey"), *[F.lit(1).alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")],
+    ).select(
+        "*", (item + 900).cast("double").alias("l_extendedprice"), (item % 11 / 100).alias("l_discount"),
+        (item % 9 / 100).alias("l_tax"), (item % 50 + 1).cast("double").alias("l_quantity"),
+        F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (item % 3 + 1).cast("int")).alias("l_returnflag"),
+    ).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    drawn, found, one_draw, search = [], [], models.draw_params, models.random_search
+    monkeypatch.setattr(models, "draw_params", lambda *a, **space: drawn.append(one_draw(*a, **space)) or drawn[-1])
+    monkeypatch.setattr(models, "random_search", lambda *a, **space: found.append(search(*a, **space)) or found[-1])
+    scores = {r.model: r.RMSE for r in catalog.rf_search(spark, str(tmp_path)).collect()}
+    assert scores["RandomSearch_RF"] < scores["Dummy"] and found[0].trace.count() == len(drawn) == models.SEARCH_DRAWS
+    rng = random.Random(0)
+    assert drawn == [one_draw(rng) for _ in drawn]
+    assert max(p["numTrees"] for p in drawn) > 300 and max(p["maxDepth"] for p in drawn) > 15
+    assert len(found[0].model.trees) == found[0].params["numTrees"] >= 80
